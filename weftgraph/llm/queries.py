@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import langid, pii, simhash
 from .common import table
 
 
@@ -14,8 +14,22 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: Key of the surrogates in the queries here; production jobs pass their own.
+PII_KEY = "weftgraph-demo-key"
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = langid.held_out(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    model = langid.train(docs.where("not held_out"))
+    return langid.identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash}
+    return {f.__name__: f for f in (op1_simhash, op8_pii, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
