@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, pii, simhash
+from . import decontaminate, langid, packing, pii, simhash
 from .common import table
 
 
@@ -22,6 +23,14 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = langid.held_out(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     model = langid.train(docs.where("not held_out"))
@@ -29,7 +38,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op8_pii, op10_langid)}
+    return {f.__name__: f for f in (op1_simhash, op4_decontaminate, op6_packing, op8_pii, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
