@@ -25,9 +25,9 @@ TITLES = r"Mrs|Mr|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Mlle|Monsieur|Madame|Señora|Se
 _names = "|".join(n for names in GIVEN.values() for n in names)
 _octet = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 
-#: Types in order of preference; each alternative starts where no letter, digit or underscore precedes.
+#: Types in order of preference; each alternative starts where no ASCII letter, digit or underscore precedes.
 KINDS = {
-    "secret": r"""(?i:token|password|passwd|pwd|secret|api[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}["']?[A-Za-z0-9_+/\-]{6,}+""",
+    "secret": r"""(?=[A-Za-z])(?i:token|password|passwd|pwd|secret|api[_-]?key)[ \t]{0,3}[=:][ \t]{0,3}["']?[A-Za-z0-9_+/\-]{6,}+""",
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "key": r"(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![A-Za-z0-9])",
     "iban": r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){3,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
@@ -35,9 +35,9 @@ KINDS = {
     "ssn": r"\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": rf"(?<!\d\.)(?:{_octet}\.){{3}}{_octet}(?!\.?\d)",
     "phone": r"(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\d)",
-    "name": rf"(?:(?:{TITLES})\.? \p{{Lu}}\p{{L}}++(?: \p{{Lu}}\p{{L}}++)?+|(?:{_names}) \p{{Lu}}\p{{L}}++)",
+    "name": rf"(?=\p{{Lu}})(?:(?:{TITLES})\.? \p{{Lu}}\p{{L}}++(?: \p{{Lu}}\p{{L}}++)?+|(?:{_names}) \p{{Lu}}\p{{L}}++)",
 }
-PATTERN = r"(?<![\p{L}\p{N}_])(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
+PATTERN = r"(?<![A-Za-z0-9_])(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
 
 #: Letters that may stand for each other; a letter in no list stays as it is.
 ALPHABETS = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "аеиоуы", "бвгдзклмнпрст", "АЕИОУЭ", "БВГДЗКЛМНПРСТ", "αειου", "βγδζκλμνπρτ", "ΑΕΙΟΥ", "ΒΓΔΖΚΛΜΝΠΡΤ"]
@@ -169,6 +169,10 @@ def dressed(k: Column, m: Column, sub: Column) -> Column:
     )
 
 
+#: Documents with a surrogate drawn again, up to which their table is broadcast; beyond, the join shuffles.
+BROADCAST_ROWS = 20_000
+
+
 def mentions(text: Column) -> Column:
     """Matches in order, each with its type and core."""
     return F.transform(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), lambda m: F.struct(m.alias("m"), kind(m).alias("k"))).alias("found")
@@ -180,8 +184,8 @@ def _with_core(found: Column) -> Column:
 
 def detected(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with _weft_found, an array of (m, k, c); empty for null texts and texts without an entity."""
-    # every alternative holds a digit, an @, a keyword with = or :, or a capital after a space
-    likely = F.col(text).rlike(r"[0-9@=:]") | F.col(text).rlike(rf"(?:{TITLES}|{_names})")
+    # every alternative holds a digit, an @, a keyword with = or :, or two words of which the second has a capital
+    likely = F.col(text).rlike(r"[0-9@=:]|[A-ZÀ-ÞΑ-ΫΆ-ΏЀ-Я][\p{L}-]*\.? \p{Lu}")
     got = docs.withColumn("_weft_found", F.when(likely, mentions(F.col(text))))
     return got.withColumn("_weft_found", F.coalesce(_with_core(F.col("_weft_found")), F.array().cast("array<struct<m:string,k:string,c:string>>")))
 
@@ -220,10 +224,16 @@ def replace(docs: DataFrame, key: str, text: str = "text", again: DataFrame | No
     """
     again = retries(docs, key, text) if again is None else again
     got = detected(docs, text)
-    own = got.select("doc_id", F.explode("_weft_found").alias("x")).select("doc_id", F.col("x.k").alias("k"), F.col("x.c").alias("c"))
-    by_doc = own.join(again, ["k", "c"]).groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x1f", "k", "c"), F.col("tries").cast("string")))).alias("_weft_again"))
-    by_doc = by_doc.withColumnRenamed("doc_id", "_weft_id")
-    got = got.join(by_doc, got.doc_id.eqNullSafe(by_doc._weft_id), "left").drop("_weft_id")
+    n = again.count()
+    if n:
+        own = got.select("doc_id", F.explode("_weft_found").alias("x")).select("doc_id", F.col("x.k").alias("k"), F.col("x.c").alias("c"))
+        by_doc = own.join(again, ["k", "c"]).groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\x1f", "k", "c"), F.col("tries").cast("string")))).alias("_weft_again"))
+        by_doc = cut(by_doc.withColumnRenamed("doc_id", "_weft_id"))
+        if by_doc.count() <= BROADCAST_ROWS:
+            by_doc = F.broadcast(by_doc)
+        got = got.join(by_doc, got.doc_id.eqNullSafe(by_doc._weft_id), "left").drop("_weft_id")
+    else:
+        got = got.withColumn("_weft_again", F.lit(None).cast("map<string,string>"))
 
     def sub(x: Column) -> Column:
         tries = F.coalesce(F.element_at(F.col("_weft_again"), F.concat_ws("\x1f", x["k"], x["c"])), F.lit(""))
