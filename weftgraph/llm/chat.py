@@ -7,7 +7,7 @@ percent sign and a line feed are written %25 and %0A besides.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Strings that no escaped text holds, as patterns of what follows their first character.
@@ -37,99 +37,78 @@ def _sum(items: Column) -> Column:
     return F.aggregate(items, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def conversations(rows: DataFrame) -> DataFrame:
-    """One row for each conv_id with its turns in order: an array of (role, text, tokens, upto), upto the prefix sum."""
+def turns_in_order(rows: DataFrame) -> DataFrame:
+    """Turns with i, their place from 0, tokens and upto, the prefix sum of tokens in their conversation."""
     turns = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     turns = turns.withColumn("tokens", F.regexp_count("text", F.lit(TOKEN)).cast("long") + MARKS)
-    got = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "tokens"))).alias("t"))
-    upto = F.aggregate("t", F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + x["tokens"])))
-    got = got.withColumn("_upto", upto)
-    return got.select("conv_id", F.transform("t", lambda x, i: F.struct(x["role"].alias("role"), x["text"].alias("text"), x["tokens"].alias("tokens"), F.get("_upto", i).alias("upto"))).alias("turns"))
-
-
-def windows(rows: DataFrame, budget: int = 1024, history: int = 256, target: str = "assistant") -> DataFrame:
-    """One row for each conversation of rows(conv_id, turn, role, text): conv_id and `windows`, an array of
-    (formatted, loss, repeated, tokens).
-
-    A window holds the system turn, if the conversation begins with one, then as many of the turns before its span as
-    fit in `history` tokens, then its span; `repeated` counts the turns that an earlier window has had already. `loss`
-    lists (start, length) in characters of the target texts of the span; repeated targets aren't in it. A window has
-    at most `budget` tokens unless one turn and the system turn alone have more. A null role or text is empty, turns
-    of equal number are ordered by role and text, repeated rows are turns of their own, a null conv_id is one
-    conversation, an empty table gives no rows, other columns are ignored. A conversation is one record, so its turns
-    have to fit in a task.
-    """
-    got = conversations(rows)
-    size = F.size("turns")
-    has_system = F.get("turns", F.lit(0))["role"] == "system"
-    system = F.when(has_system, F.get("turns", F.lit(0))["tokens"]).otherwise(0)
-    room = F.greatest(F.lit(1).cast("long"), F.lit(budget).cast("long") - history - system)
-    got = got.withColumn("_room", room).withColumn("_sys", has_system)
-    got = got.withColumn("_at", _starts(F.col("turns"), F.col("_room")))
-
-    def window(begin: Column, k: Column) -> Column:
-        end = F.coalesce(F.get("_at", k + 1), size)
-        done = F.coalesce(F.get("turns", begin - 1)["upto"], F.lit(0))
-        kept = F.transform("turns", lambda x, i: F.struct(x["role"].alias("role"), x["text"].alias("text"), x["tokens"].alias("tokens"), i.alias("i"), x["upto"].alias("upto")))
-        own = F.filter(
-            kept,
-            lambda x: ((x["i"] >= begin) & (x["i"] < end)) | ((x["i"] == 0) & F.col("_sys")) | ((x["i"] < begin) & (done - x["upto"] + x["tokens"] <= history)),
-        )
-        pieces = F.transform(
-            own,
-            lambda x: F.struct(
-                F.concat(F.lit("<s>"), _role(x["role"]), F.lit("\n")).alias("head"), escape(x["text"]).alias("body"), ((x["i"] >= begin) & (x["role"] == target)).alias("loss"), (x["i"] < begin).alias("old"), x["tokens"].alias("tokens")
-            ),
-        )
-        loss = F.aggregate(
-            pieces,
-            F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("out")),
-            lambda a, p: F.struct(
-                (a["pos"] + F.length(p["head"]) + F.length(p["body"]) + 4).alias("pos"),
-                F.when(p["loss"], F.concat(a["out"], F.array(F.struct((a["pos"] + F.length(p["head"])).alias("start"), F.length(p["body"]).cast("long").alias("length"))))).otherwise(a["out"]).alias("out"),
-            ),
-            lambda a: a["out"],
-        )
-        return F.struct(
-            F.array_join(F.transform(pieces, lambda p: F.concat(p["head"], p["body"], F.lit("</s>"))), "").alias("formatted"), loss.alias("loss"), F.size(F.filter(pieces, lambda p: p["old"])).alias("repeated"), _sum(F.transform(pieces, lambda p: p["tokens"])).alias("tokens")
-        )
-
-    return got.select("conv_id", F.transform("_at", window).alias("windows"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    return turns.withColumn("i", F.row_number().over(order) - 1).withColumn("upto", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def _starts(turns: Column, room: Column) -> Column:
     """Index of each span's first turn: a span ends before its tokens, by prefix sums, pass the room; a larger turn stands alone."""
-    first = F.struct(F.array(F.lit(0)).alias("at"), F.lit(0).cast("long").alias("base"), F.lit(0).alias("i"), F.lit(0).cast("long").alias("before"))
+    first = F.struct(F.array(F.lit(0)).alias("at"), F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("before"))
 
     def step(a: Column, x: Column) -> Column:
         over = (x["upto"] - a["base"] > room) & (a["before"] > a["base"])
-        return F.struct(
-            F.when(over, F.concat(a["at"], F.array(a["i"]))).otherwise(a["at"]).alias("at"), F.when(over, a["before"]).otherwise(a["base"]).alias("base"), (a["i"] + 1).alias("i"), x["upto"].alias("before")
-        )
+        return F.struct(F.when(over, F.concat(a["at"], F.array(x["i"]))).otherwise(a["at"]).alias("at"), F.when(over, a["before"]).otherwise(a["base"]).alias("base"), x["upto"].alias("before"))
 
     return F.aggregate(turns, first, step, lambda a: a["at"])
 
 
-def exploded(formatted: DataFrame) -> DataFrame:
-    """A row for each window: conv_id, window, formatted, loss, repeated, tokens."""
-    return formatted.select("conv_id", F.posexplode("windows").alias("window", "x")).select("conv_id", "window", "x.*")
-
-
-def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id with `turns` (role, text) and `targets`, parsed from the windows' strings and masks alone."""
-
-    def parsed(w: Column) -> Column:
-        pieces = F.split(w["formatted"], "</s>", -1)
-        new = F.slice(pieces, w["repeated"] + 1, F.greatest(F.lit(0), F.size(pieces) - 1 - w["repeated"]))
-        return F.transform(new, lambda p: F.struct(_unrole(F.substring_index(p, "\n", 1).substr(F.lit(4), F.length(p))).alias("role"), unescape(p.substr(F.instr(p, "\n") + 1, F.length(p))).alias("text")))
-
-    targets = F.flatten(F.transform("windows", lambda w: F.transform(w["loss"], lambda s: unescape(w["formatted"].substr((s["start"] + 1).cast("int"), s["length"].cast("int"))))))
-    return formatted.select("conv_id", F.flatten(F.transform("windows", parsed)).alias("turns"), targets.alias("targets"), _sum(F.transform("windows", lambda w: F.length(w["formatted"]))).alias("formatted_chars"))
-
+def windows(rows: DataFrame, budget: int = 1024, history: int = 256, target: str = "assistant") -> DataFrame:
+    """Rows (conv_id, window, formatted, loss, repeated, tokens) for the conversations of rows(conv_id, turn, role, text).
 
-def digests(formatted: DataFrame) -> DataFrame:
-    """What the formatted windows hold, read back from them."""
-    got = read_back(formatted)
+    A window holds the system turn, if the conversation begins with one, then as many of the turns before its span as
+    fit in `history` tokens, then its span; `repeated` counts the turns that an earlier window has had already. `loss`
+    lists (start, length) in characters of the target texts of the span; repeated targets aren't in it. A window has
+    at most `budget` tokens unless one turn and the system turn alone have more. A null role or text is empty, turns
+    of equal number are ordered by role and text, repeated rows are turns of their own, a null conv_id is one
+    conversation, an empty table gives no rows, other columns are ignored. Of a whole conversation only places and
+    prefix sums come together, 16 bytes a turn; texts come together by window.
+    """
+    turns = turns_in_order(rows)
+    sums = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("i", "upto"))).alias("all"), F.max(F.when((F.col("i") == 0) & (F.col("role") == "system"), F.col("tokens"))).alias("sys"))
+    room = F.greatest(F.lit(1).cast("long"), F.lit(budget).cast("long") - history - F.coalesce("sys", F.lit(0)))
+    spans = sums.withColumn("at", _starts(F.col("all"), room))
+    done = F.transform("at", lambda b: F.coalesce(F.get("all", b - 1)["upto"], F.lit(0)))
+    spans = spans.select(F.col("conv_id").alias("_conv"), F.col("sys").isNotNull().alias("has_sys"), F.arrays_zip(F.col("at").alias("at"), done.alias("done")).alias("spans"))
+    joined = turns.join(spans, turns.conv_id.eqNullSafe(spans._conv)).drop("_conv")
+    # the windows of a turn: that of its span, later ones that it is history of, and all of them for the system turn
+    holds = F.filter(
+        F.transform("spans", lambda s, k: F.struct(k.alias("window"), s["at"].alias("begin"), F.coalesce(F.get("spans", k + 1)["at"], F.lit(2**31 - 1)).alias("end"), s["done"].alias("done"))),
+        lambda w: (F.col("i") < w["end"]) & ((F.col("i") >= w["begin"]) | (F.col("has_sys") & (F.col("i") == 0)) | (w["done"] - F.col("upto") + F.col("tokens") <= history)),
+    )
+    held = joined.select("conv_id", "i", "role", "text", "tokens", F.explode(holds).alias("w"))
+    old = F.col("i") < F.col("w.begin")
+    piece = F.struct("i", F.concat(F.lit("<s>"), _role(F.col("role")), F.lit("\n")).alias("head"), escape(F.col("text")).alias("body"), (~old & (F.col("role") == target)).alias("loss"), old.alias("old"), "tokens")
+    packed = held.select("conv_id", "w.window", piece.alias("p")).groupBy("conv_id", "window").agg(F.array_sort(F.collect_list("p")).alias("pieces"))
+    loss = F.aggregate(
+        "pieces",
+        F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("out")),
+        lambda a, p: F.struct(
+            (a["pos"] + F.length(p["head"]) + F.length(p["body"]) + 4).alias("pos"),
+            F.when(p["loss"], F.concat(a["out"], F.array(F.struct((a["pos"] + F.length(p["head"])).alias("start"), F.length(p["body"]).cast("long").alias("length"))))).otherwise(a["out"]).alias("out"),
+        ),
+        lambda a: a["out"],
+    )
+    text = F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit("</s>"))), "")
+    return packed.select("conv_id", "window", text.alias("formatted"), loss.alias("loss"), F.size(F.filter("pieces", lambda p: p["old"])).alias("repeated"), _sum(F.transform("pieces", lambda p: p["tokens"])).alias("tokens"))
+
+
+def read_back(made: DataFrame) -> DataFrame:
+    """Rows (conv_id, window, turns, targets): new turns (role, text) and targets, parsed from a window's string and mask alone."""
+    pieces = F.split("formatted", "</s>", -1)
+    new = F.slice(pieces, F.col("repeated") + 1, F.greatest(F.lit(0), F.size(pieces) - 1 - F.col("repeated")))
+    turns = F.transform(new, lambda p: F.struct(_unrole(F.substring_index(p, "\n", 1).substr(F.lit(4), F.length(p))).alias("role"), unescape(p.substr(F.instr(p, "\n") + 1, F.length(p))).alias("text")))
+    targets = F.transform("loss", lambda s: unescape(F.col("formatted").substr((s["start"] + 1).cast("int"), s["length"].cast("int"))))
+    return made.select("conv_id", "window", turns.alias("turns"), targets.alias("targets"), F.length("formatted").cast("long").alias("chars"))
+
+
+def digests(made: DataFrame) -> DataFrame:
+    """What the formatted windows hold, read back from them, by conversation."""
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join("targets", "")
-    return got.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars")
+    parts = read_back(made).select("conv_id", "chars", F.struct("window", F.size("turns").alias("n"), said.alias("said"), F.array_join("targets", "").alias("loss")).alias("w"))
+    got = parts.groupBy("conv_id").agg(F.array_sort(F.collect_list("w")).alias("w"), F.sum("chars").alias("formatted_chars"))
+    got = got.select("conv_id", "formatted_chars", _sum(F.col("w.n")).alias("n_turns"), F.array_join("w.said", "").alias("said"), F.array_join("w.loss", "").alias("loss"))
+    return got.select("conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
