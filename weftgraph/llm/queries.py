@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, flac, langid, packing, pii, simhash
+from . import chat, decontaminate, flac, langid, packing, pii, simhash, suffixes
 from .common import table
 
 
@@ -42,6 +42,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = langid.held_out(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     model = langid.train(docs.where("not held_out"))
@@ -49,7 +53,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op4_decontaminate, op5_flac, op6_packing, op7_chat, op8_pii, op10_langid)}
+    return {f.__name__: f for f in (op1_simhash, op4_decontaminate, op5_flac, op6_packing, op7_chat, op8_pii, op9_suffixes, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
