@@ -14,8 +14,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK = 1024
 PARTS = 4
@@ -120,7 +122,7 @@ def _zigzag(r: np.ndarray) -> np.ndarray:
     return (r << 1) ^ (r >> 31)
 
 
-def encode(payloads: list[bytes], limit: int = 1 << 21) -> list[bytes]:
+def encode(payloads: list[bytes], limit: int = 1 << 19) -> list[bytes]:
     """A FLAC stream of each payload, byte b as sample b - 128. Payloads hold 16 bytes or more."""
     out: list[bytes] = []
     part: list[bytes] = []
@@ -417,7 +419,7 @@ def _predicted(out, end, some, n, order, kind, pos, bits, take, signed, window)
             out[some[k]] = y[: n[k], i]
 
 
-def decode(media: list[bytes], limit: int = 1 << 20) -> list[bytes]:
+def decode(media: list[bytes], limit: int = 1 << 19) -> list[bytes]:
     """The payloads of 8-bit streams, all checksums verified, MD5 included; raises ValueError on any damage."""
     out: list[bytes] = []
     part: list[bytes] = []
@@ -494,30 +496,43 @@ def feature(v: bytes) -> str:
 def store(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with `media`, the FLAC stream of each whole text (null: empty) padded with zero bytes to 64, and n_bytes."""
 
-    @F.pandas_udf("n_bytes long, media binary")
-    def made(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in parts:
-            pay = [payload(t) for t in s]
-            size = [len((t or "").encode("utf-8", "surrogatepass")) for t in s]
-            yield pd.DataFrame({"n_bytes": size, "media": encode(pay)})
+    docs = docs.drop("n_bytes", "media")
+    at = docs.columns.index(text)
 
-    got = docs.withColumn("_weft", made(F.col(text)))
-    return got.withColumn("n_bytes", F.col("_weft.n_bytes")).withColumn("media", F.col("_weft.media")).drop("_weft")
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            texts = part.column(at).to_pylist()
+            size = [len((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+            yield _with(part, n_bytes=pa.array(size, pa.int64()), media=pa.array(encode([payload(t) for t in texts]), pa.binary()))
+
+    return docs.mapInArrow(made, T.StructType([*docs.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]))
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, so that a worker holds little besides its input batch."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
+def _with(part: pa.RecordBatch, **more: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*part.columns, *more.values()], names=[*part.schema.names, *more])
 
 
 def load(stored: DataFrame, media: str = "media") -> DataFrame:
     """stored with `payload`, read back from the stream, and `feature`. A null stream gives nulls; damage raises."""
 
-    @F.pandas_udf("payload binary, feature string")
-    def read(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in parts:
-            own = s.notna().to_numpy()
-            got = iter(decode([bytes(m) for m in s[own]]))
-            rows = [next(got) if ok else None for ok in own]
-            yield pd.DataFrame({"payload": rows, "feature": [None if r is None else feature(r) for r in rows]})
+    stored = stored.drop("payload", "feature")
+    at = stored.columns.index(media)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _slices(batches):
+            own = part.column(at).to_pylist()
+            got = iter(decode([m for m in own if m is not None]))
+            rows = [None if m is None else next(got) for m in own]
+            yield _with(part, payload=pa.array(rows, pa.binary()), feature=pa.array([None if r is None else feature(r) for r in rows], pa.string()))
 
-    got = stored.withColumn("_weft", read(F.col(media)))
-    return got.withColumn("payload", F.col("_weft.payload")).withColumn("feature", F.col("_weft.feature")).drop("_weft")
+    return stored.mapInArrow(read, T.StructType([*stored.schema.fields, T.StructField("payload", T.BinaryType()), T.StructField("feature", T.StringType())]))
 
 
 def pcm_blocks(stored: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
