@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, flac, langid, packing, pii, simhash, suffixes
+from . import chat, decontaminate, flac, langid, packing, pii, quality, simhash, suffixes, warc
 from .common import table
 
 
@@ -30,6 +30,41 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
+def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return warc.audit(pages, warc.damaged(pages))
+
+
+OP2_SQL = """
+with src as (
+  select page_id, coalesce(url, '') as url, coalesce(html, '') as html, substr(md5(coalesce(url, '')), 1, 2) as d from pages
+), replica as (
+  select page_id, url, case when d = '00' then 'X' || substr(html, 2) else html end as html from src where d <> '01'
+  union all select -page_id - 2, url, html from src where d = '02'
+), records as (
+  select 'a' as side, page_id, url, html from src union all select 'b', page_id, url, html from replica
+), texts as (
+  select side, page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:'
+    || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: ' || strlen(html)
+    || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10) || chr(13) || chr(10) as r from records
+), sized as (
+  select side, page_id, page_id >> 10 as segment, strlen(r)::bigint as record_length, sha256(r) as sha from texts
+), placed as (
+  select *, sum(record_length) over (partition by side, segment order by page_id rows unbounded preceding) - record_length as record_offset from sized
+), a as (select * from placed where side = 'a'), b as (select * from placed where side = 'b')
+select coalesce(a.page_id, b.page_id) as page_id, case when b.sha is null then 'missing' when a.sha is null then 'extra' else 'corrupt' end as status,
+  coalesce(a.segment, b.segment)::bigint as segment, coalesce(a.record_offset, b.record_offset)::bigint as record_offset,
+  coalesce(a.record_length, b.record_length) as record_length, a.sha as expected_sha256, b.sha as found_sha256
+from a full join b on a.page_id = b.page_id where a.sha is distinct from b.sha
+"""
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.grade(docs, model).select("doc_id", "expected_grade", "p_not_toxic", "p_good", "selected")
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -53,8 +88,8 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op4_decontaminate, op5_flac, op6_packing, op7_chat, op8_pii, op9_suffixes, op10_langid)}
+    return {f.__name__: f for f in (op1_simhash, op2_warc_fixity, op3_quality, op4_decontaminate, op5_flac, op6_packing, op7_chat, op8_pii, op9_suffixes, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc_fixity": OP2_SQL}

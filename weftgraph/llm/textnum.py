@@ -75,8 +75,8 @@ WORD = np.array([48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 fo
 LETTER = np.array([65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in range(256)])
 
 
-def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of lower-cased texts: hash of each word, and for each text its first word and the word after its last."""
+def places(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of lower-cased texts: prefix sums, starts and ends of words, and for each text its first word and the word after its last."""
     parts = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
     buf = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
     own = WORD[buf]
@@ -85,7 +85,13 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lengths = np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts))
     bounds = np.concatenate([[0], np.cumsum(lengths)])
     cut = np.searchsorted(starts, bounds)
-    return spans(prefix(buf), starts, ends), cut[:-1], cut[1:]
+    return prefix(buf), starts, ends, cut[:-1], cut[1:]
+
+
+def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lower-cased texts: hash of each word, and for each text its first word and the word after its last."""
+    total, starts, ends, first, after = places(texts)
+    return spans(total, starts, ends), first, after
 
 
 def grams(texts: list[str], sizes: tuple[int, ...], bits: int) -> tuple[list[np.ndarray], np.ndarray]:
