@@ -1 +1 @@
-
+"""Column expressions: orientations, cell types, vectors."""

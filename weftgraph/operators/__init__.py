@@ -1 +1 @@
-
+"""Operators over incidence tables."""

@@ -1 +1 @@
-
+"""Plan helpers: cutting lineage and iterating frontiers."""

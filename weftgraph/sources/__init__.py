@@ -1 +1 @@
-
+"""Readers and writers of mesh files and partitioned table sets."""
