@@ -49,13 +49,12 @@ def closure_to_height(arrows: DataFrame, strata: DataFrame, seeds: DataFrame, he
 
 
 def link(arrows: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(star(closure(p)) and closure(star(p))) without closure(p) and star(p), by seed."""
+    """(seed, point): points both below and above a seed, without itself, its cone and its support; empty on every DAG."""
     own = seeds.select(F.col("point").alias("seed"), "point")
     down, up = closure(arrows, own, keys=["seed"]), star(arrows, own, keys=["seed"])
-    around = star(arrows, down.select("seed", "point"), keys=["seed"]).select("seed", "point")
-    inside = closure(arrows, up.select("seed", "point"), keys=["seed"]).select("seed", "point")
-    gone = down.select("seed", "point").unionByName(up.select("seed", "point"))
-    return around.join(inside, ["seed", "point"], "left_semi").join(gone, ["seed", "point"], "left_anti")
+    near = arrows.select(F.col("src").alias("seed"), F.col("dst").alias("point")).unionByName(arrows.select(F.col("dst").alias("seed"), F.col("src").alias("point")))
+    both = down.select("seed", "point").join(up.select("seed", "point"), ["seed", "point"], "left_semi").where("seed <> point")
+    return both.join(near, ["seed", "point"], "left_anti")
 
 
 def oriented_closure(arrows: DataFrame, seeds: DataFrame, upward: bool = False) -> DataFrame:
