@@ -16,7 +16,7 @@ def write_tables(mesh: Mesh, path: str) -> None:
         if df is not None:
             df.write.mode("overwrite").parquet(f"{path}/{name}")
     for name, df in mesh.sections.items():
-        df.withColumn("name", F.lit(name)).write.mode("overwrite").partitionBy("name").parquet(f"{path}/sections")
+        df.write.mode("overwrite").parquet(f"{path}/sections/name={name}")
 
 
 def read_tables(spark: SparkSession, path: str, only: tuple[str, ...] = TABLES, sections: str | None = None) -> Mesh:
