@@ -22,6 +22,34 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.windows(rows))
 
 
+OP7_SQL = r"""
+with recursive c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), t as (
+  select *, row_number() over (partition by conv_id order by turn, role, text) - 1 as i,
+    len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')) + 4 as tokens,
+    length(replace(replace(replace(replace(replace(replace(replace(text, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '<<SYS>>', '<\<SYS>>'), '<</SYS>>', '<\</SYS>>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')) as size from c
+), u as (select *, sum(tokens) over (partition by conv_id order by i rows unbounded preceding) as upto from t
+), r as (
+  select conv_id, greatest(1, 1024 - 256 - coalesce(max(case when i = 0 and role = 'system' then tokens end), 0)) as room, bool_or(i = 0 and role = 'system') as sys from u group by 1
+), spans(conv_id, k, start, base) as (
+  select conv_id, 0, 0::bigint, 0::hugeint from r
+  union all select s.conv_id, s.k + 1, min(u.i), min(u.upto - u.tokens) from spans s join r on r.conv_id = s.conv_id
+    join u on u.conv_id = s.conv_id and u.i > s.start and u.upto - s.base > r.room group by s.conv_id, s.k
+), w as (select *, coalesce(lead(start) over (partition by conv_id order by k), 9999999) as fin from spans
+), held as (
+  select u.conv_id, 8 + length(u.role) + u.size as chars from w join r on r.conv_id = w.conv_id join u on u.conv_id = w.conv_id and u.i < w.fin
+    and (u.i >= w.start or (r.sys and u.i = 0) or w.base - u.upto + u.tokens <= 256)
+), f as (select conv_id, sum(chars)::bigint as formatted_chars from held group by 1
+), d as (
+  select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by i)) as turns_sha256,
+    coalesce(string_agg(text, '' order by i) filter (role = 'assistant'), '') as loss from u group by 1
+)
+select conv_id, n_turns, turns_sha256, length(loss)::bigint as loss_chars, sha256(loss) as loss_sha256, formatted_chars from d join f using (conv_id)
+"""
+
+
 #: Key of the surrogates in the queries here; production jobs pass their own.
 PII_KEY = "weftgraph-demo-key"
 
@@ -92,4 +120,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_fixity": OP2_SQL}
+    return {"op2_warc_fixity": OP2_SQL, "op7_chat": OP7_SQL}
