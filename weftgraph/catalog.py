@@ -572,6 +572,150 @@ def forest_refine(s, d):
     return adapt.refine_by_indicator(once, 2, 0.5).select("level", F.get("coords", F.lit(0)).alias("x"), F.get("coords", F.lit(1)).alias("y"))
 
 
+# --- more of sections, constraints and transfers
+
+
+@query(f"select {id_(5, 'p_partkey')} as point, p_retailprice + 2.0::double as x, p_size + 2.0::double * 3.0::double as y from part")
+def advance_with_velocity(s, d):
+    at = t(s, d, "part").select(point(PART, F.col("p_partkey")).alias("point"), F.array("p_retailprice", F.col("p_size").cast("double")).alias("xyz"))
+    v = at.select("point", F.array(F.lit(1.0), F.lit(3.0)).alias("xyz"))
+    return sections.advance(at, v, 2.0).select("point", F.get("xyz", F.lit(0)).alias("x"), F.get("xyz", F.lit(1)).alias("y"))
+
+
+@query("with c as (select l_orderkey as k, count(*) as n from lineitem group by 1), f as (select k as seq, 0 as field_idx, 1::bigint as len from c union all select k, 1, n from c) select seq, field_idx::int as field_idx, len, (sum(len) over (order by seq, field_idx rows unbounded preceding) - len)::bigint as \"offset\" from f")
+def multi_section_layout(s, d):
+    c = line_counts(s, d)
+    f = c.select("point", "seq", F.lit(0).alias("field_idx"), F.lit(1).cast("long").alias("len")).unionByName(c.select("point", "seq", F.lit(1).alias("field_idx"), "len"))
+    return sections.fields_layout(f).select("seq", "field_idx", "len", "offset")
+
+
+@query("select p_partkey as point, case when p_partkey % 2 = 1 then p_size else p_partkey end::double as v0, case when p_partkey % 2 = 1 then p_partkey - 1 else coalesce(p_size, 0) end::double as v1 from part where p_partkey % 2 = 0 union all select a.p_partkey, b.p_size::double, b.p_partkey::double from part a join part b on b.p_partkey = a.p_partkey - 1 where a.p_partkey % 2 = 1")
+def copy_between_points(s, d):
+    own = t(s, d, "part").select(F.col("p_partkey").alias("point"), F.col("p_partkey").alias("seq"), F.array(F.col("p_partkey").cast("double"), F.col("p_size").cast("double")).alias("values"))
+    pairs = t(s, d, "part").where("p_partkey % 2 = 1").select((F.col("p_partkey") - 1).alias("src"), F.col("p_partkey").alias("dst"), F.lit(True).alias("reverse"))
+    return sections.copy_between(own, pairs).select("point", F.get("values", F.lit(0)).alias("v0"), F.get("values", F.lit(1)).alias("v1"))
+
+
+@query(f"select {id_(5, 'p_partkey')} as point, 0::int as idx, (p_size * 10)::double as value from part where p_size in (3, 4)")
+def constraints_from_labels(s, d):
+    specs = s.createDataFrame([("size", 3, 0, 30.0), ("size", 4, 0, 40.0)], "name string, value int, idx int, fixed double")
+    return constraints.from_labels(part_labels(s, d, "size", F.col("p_size")), specs)
+
+
+@query(f"with {OP}, n as (select src, count(*) as n from op group by 1) select op.src as point, 0::int as idx, dst as src_point, 0::int as src_idx, (1.0::double / n)::double as weight from op join n on n.src = op.src")
+def anchor_constraints(s, d):
+    op = order_parts(s, d)
+    return constraints.anchor_terms(op.select(F.col("src").alias("point"), F.col("dst").alias("parent")), op.select(F.col("src").alias("point"), F.lit(1).alias("len")).distinct())
+
+
+@query("with c as (select (l_suppkey % 4)::int as rank, l_partkey as point, sum(l_quantity) as v from lineitem group by 1, 2), w as (select point, sum(v) as value, min(rank) as owner from c group by 1) select c.rank, c.point, 0::int as idx, case when c.point % 10 = 0 then -1 else w.value end::double as value from c join w on w.point = c.point")
+def assemble_shared(s, d):
+    local = t(s, d, "lineitem").groupBy((F.col("l_suppkey") % 4).cast("int").alias("rank"), F.col("l_partkey").alias("point")).agg(F.sum("l_quantity").alias("value")).withColumn("idx", F.lit(0))
+    owners = local.groupBy("point").agg(F.min("rank").alias("owner"))
+    fixed = t(s, d, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("point"), F.lit(0).alias("idx"), F.lit(-1.0).alias("value"))
+    return assembly.assemble_shared(local, owners, fixed)
+
+
+@query("with c as (select (l_suppkey % 4)::int as rank, l_partkey as point, sum(l_quantity) as v from lineitem group by 1, 2), w as (select point, arg_min(v, rank) as value from c group by 1) select c.rank, c.point, 0::int as idx, w.value::double as value from c join w on w.point = c.point")
+def complete_section(s, d):
+    local = t(s, d, "lineitem").groupBy((F.col("l_suppkey") % 4).cast("int").alias("rank"), F.col("l_partkey").alias("point")).agg(F.sum("l_quantity").alias("value")).withColumn("idx", F.lit(0))
+    return distribution.complete(local, local.groupBy("point").agg(F.min("rank").alias("owner")))
+
+
+@query(f"with {LOCAL}, w as (select point, min(rank) as owner from local group by 1), sf as (select local.rank, local.point as leaf, owner as rr from local join w on w.point = local.point where rank <> owner) select rank, leaf, (rr + 10)::int as remote_rank, leaf as remote_point from sf where leaf % 2 = 0 union all select rank, leaf, rr, leaf from sf where leaf % 2 <> 0")
+def compose_forests(s, d):
+    held = traverse.closure(order_parts(s, d), order_ranks(s, d).select(F.col("part").alias("rank"), F.col("cell").alias("point")), keys=["rank"])
+    sf = distribution.forest(distribution.ownership(held))
+    moved = sf.where("leaf % 2 = 0").select(F.col("remote_rank").alias("rank"), F.col("remote_point").alias("leaf"), (F.col("remote_rank") + 10).alias("remote_rank"), "remote_point").distinct()
+    return distribution.compose(sf, moved)
+
+
+@query(f"select distinct {id_(6, 'l_orderkey')} as src, {id_(5, '(l_partkey - l_partkey % 7)')} as dst from lineitem")
+def periodic_quotient(s, d):
+    same = t(s, d, "part").select(point(PART, F.col("p_partkey")).alias("point"), point(PART, F.col("p_partkey") - F.col("p_partkey") % 7).alias("representative"))
+    return distribution.quotient(order_parts(s, d), same)
+
+
+@query(f"""with {OP}, near as (select src as v, (dst - 1) % 4 as p from op union all select dst, (src - 1) % 4 from op), n as (select v, p, count(*) as c from near group by 1, 2)
+select v as vertex, arg_max(p, c * 100 + case when p = (v - 1) % 4 then 50 else 0 end - p)::int as primary, count(*)::int as replicas from n group by 1""")
+def vertex_cuts(s, d):
+    return partition.vertex_cuts(*bipartite(s, d)).select("vertex", "primary", F.size("replicas").alias("replicas"))
+
+
+@query(f"with {FACES} select cell, axis, sum(v)::double / 2 as gradient from (select o as cell, 0 as axis, (a + b) / 2 * m as v from f union all select n, 0, -((a + b) / 2 * m) from f union all select o, 1, (a + b) / 2 from f union all select n, 1, -((a + b) / 2) from f) group by 1, 2")
+def green_gauss_gradient(s, d):
+    f = line_faces(s, d).withColumn("area_vector", F.array("mass_flux", F.lit(1.0)))
+    cells = f.select(F.explode(F.array("owner", "neighbor")).alias("cell")).distinct().withColumn("volume", F.lit(2.0))
+    return fvm.gradients(f, cells)
+
+
+@query(f"with x as (select {id_(6, 'l_orderkey')} as o, {id_(5, 'l_partkey')} as n, l_quantity as a, l_discount as k from lineitem) select cell, max(a) as non_orthogonality, max(k) as skewness, 0::bigint as boundary_faces from (select o as cell, a, k from x union all select n, a, k from x) group by 1")
+def cell_diagnostics(s, d):
+    m = t(s, d, "lineitem").select(point(ORDER, F.col("l_orderkey")).alias("owner"), point(PART, F.col("l_partkey")).alias("neighbor"), F.col("l_quantity").alias("non_orthogonality"), F.col("l_discount").alias("skewness"))
+    return fvm.cell_diagnostics(m)
+
+
+@query("select 'non_orthogonality' as check, sum((l_quantity > 40)::int)::bigint as violations from lineitem union all select 'skewness', sum((l_discount > 0.05)::int) from lineitem union all select 'degenerate_faces', sum((l_tax <= 0)::int) from lineitem")
+def fv_readiness(s, d):
+    m = t(s, d, "lineitem").select(F.col("l_quantity").alias("non_orthogonality"), F.col("l_discount").alias("skewness"), F.col("l_tax").alias("area"))
+    return fvm.readiness(m, 40.0, 0.05)
+
+
+@query(f"select {id_(6, 'l_orderkey')} as owner, l_linenumber as line, not (l_linenumber = 1 and o_orderstatus = 'F') as active from lineitem join orders on l_orderkey = o_orderkey")
+def wet_dry_mask(s, d):
+    f = t(s, d, "lineitem").select(point(ORDER, F.col("l_orderkey")).alias("owner"), F.when(F.col("l_linenumber") != 1, point(PART, F.col("l_partkey"))).alias("neighbor"), F.col("l_linenumber").alias("line"))
+    dry = t(s, d, "orders").where("o_orderstatus = 'F'").select(F.lit("wet_dry").alias("name"), point(ORDER, F.col("o_orderkey")).alias("point"), F.lit(0).alias("value"))
+    return fvm.active(f, dry).select("owner", "line", "active")
+
+
+@query("select l_orderkey * 100 + l_linenumber as point, o_custkey as value from lineitem join orders on l_orderkey = o_orderkey")
+def transfer_refinement(s, d):
+    m = t(s, d, "lineitem").select(F.col("l_orderkey").alias("coarse"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("fine"))
+    return adapt.transfer_refinement(t(s, d, "orders").select(F.col("o_orderkey").alias("point"), F.col("o_custkey").alias("value")), m)
+
+
+@query("select o_custkey as point, 0::int as idx, avg(o_orderkey)::double as value from orders group by 1")
+def transfer_coarsening(s, d):
+    m = t(s, d, "orders").select(F.col("o_custkey").alias("coarse"), F.col("o_orderkey").alias("fine"))
+    return adapt.transfer_coarsening(t(s, d, "orders").select(F.col("o_orderkey").alias("point"), F.lit(0).alias("idx"), F.col("o_orderkey").cast("double").alias("value")), m)
+
+
+@query(f"with {OP} select dst as point, min((src - 1) % 5)::bigint as owner from op group by 1")
+def transfer_ownership(s, d):
+    op = order_parts(s, d)
+    own = op.select(F.col("src").alias("point"), ((F.col("src") - 1) % 5).alias("owner")).distinct()
+    return adapt.transfer_ownership(own, op.select(F.col("src").alias("coarse"), F.col("dst").alias("fine")))
+
+
+@query("select (c_nationkey % 3)::int as mesh_id, 'seg' as name, c_custkey % 50 as point, w.v as value from customer join (select c_custkey % 50 as p, max(c_nationkey)::int as v from customer group by 1) w on w.p = c_custkey % 50 group by all")
+def bundle_sync_labels(s, d):
+    from .sources.bundles import sync_labels
+
+    own = t(s, d, "customer").select((F.col("c_nationkey") % 3).cast("int").alias("mesh_id"), F.lit("seg").alias("name"), (F.col("c_custkey") % 50).alias("point"), F.col("c_nationkey").cast("int").alias("value"))
+    return sync_labels(own, own)
+
+
+@query("select 'hexahedron' as tag, 60::bigint as cells, 6.0::double as measure union all select 'triangle', 24, 1.0")
+def mesh_measures(s, d):
+    out = None
+    for mesh in (generate.hex_mesh(s, 5, 4, 3, high=(1.0, 2.0, 3.0)), generate.triangulated(generate.quad_mesh(s, 4, 3))):
+        one = generate.cell_coordinates(mesh).groupBy("tag").agg(F.count("*").alias("cells"), F.round(F.sum(geometry.measure(F.col("tag"), F.col("pts"))), 9).alias("measure"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("select 0::int as orient, 31::bigint as arrows union all select -1, 17")
+def interpolate_topology(s, d):
+    """Arrows of the edges of a 4 x 3 grid: each edge's first cell, and the second cells that meet it the other way."""
+    return generate.interpolate(generate.quad_mesh(s, 4, 3), "edges")[1].groupBy("orient").agg(F.count("*").alias("arrows"))
+
+
+@query("select 'triangle' as tag, 96::bigint as cells, 1.0::double as measure")
+def refine_templates(s, d):
+    mesh, _ = generate.refine(generate.triangulated(generate.quad_mesh(s, 4, 3)))
+    return generate.cell_coordinates(mesh).groupBy("tag").agg(F.count("*").alias("cells"), F.round(F.sum(geometry.measure(F.col("tag"), F.col("pts"))), 9).alias("measure"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder under spark.checkpoint.dir; a temporary one is set where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="weftgraph-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault("dir", "") or tempfile.mkdtemp(prefix="weftgraph-")
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        _own["dir"] = base
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
