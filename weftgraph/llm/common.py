@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 REPO = str(Path(__file__).resolve().parents[2])
 
@@ -27,12 +32,14 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (REPO, path) if x)
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder under spark.checkpoint.dir, which every executor sees; a temporary one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="weftgraph-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault("dir", "") or tempfile.mkdtemp(prefix="weftgraph-")
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        _own["dir"] = base
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -71,3 +78,34 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("connected components did not settle")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, so that reused workers and the driver stay small."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, so that a worker holds little besides its input batch; at the end freed memory goes back."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+    give_back()
+
+
+def with_columns(docs: DataFrame, text: str, fields: list[T.StructField], made: Callable[[list], list[pa.Array]], rows: int = 256) -> DataFrame:
+    """docs with the given columns, made from the values of `text`; columns of these names are replaced."""
+    docs = docs.drop(*[f.name for f in fields])
+    at = docs.columns.index(text)
+    names = [*docs.columns, *[f.name for f in fields]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, rows):
+            yield pa.RecordBatch.from_arrays([*part.columns, *made(part.column(at).to_pylist())], names=names)
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import slices
+
 BLOCK = 1024
 PARTS = 4
 RATE = 8000
@@ -500,7 +502,7 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
     at = docs.columns.index(text)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches):
+        for part in slices(batches, 128):
             texts = part.column(at).to_pylist()
             size = [len((t or "").encode("utf-8", "surrogatepass")) for t in texts]
             yield _with(part, n_bytes=pa.array(size, pa.int64()), media=pa.array(encode([payload(t) for t in texts]), pa.binary()))
@@ -508,13 +510,6 @@ def store(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.mapInArrow(made, T.StructType([*docs.schema.fields, T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]))
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
-    """Few rows at a time, so that a worker holds little besides its input batch."""
-    for b in batches:
-        for k in range(0, b.num_rows, rows):
-            yield b.slice(k, rows)
-
-
 def _with(part: pa.RecordBatch, **more: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*part.columns, *more.values()], names=[*part.schema.names, *more])
 
@@ -526,7 +521,7 @@ def load(stored: DataFrame, media: str = "media") -> DataFrame:
     at = stored.columns.index(media)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches):
+        for part in slices(batches, 128):
             own = part.column(at).to_pylist()
             got = iter(decode([m for m in own if m is not None]))
             rows = [None if m is None else next(got) for m in own]

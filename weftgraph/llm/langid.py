@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textnum
+from .common import give_back, with_columns
 
 UNKNOWN = "und"
 SIZES = (2, 3, 4)
@@ -30,12 +31,12 @@ class Model:
 
 def _bags(texts: list[str], bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     got = []
-    for part in textnum.chunks(texts, 1 << 20):
+    for part in textnum.chunks(texts, 1 << 17):
         ids, bounds = textnum.grams(part, SIZES, bits)
         for i in range(len(part)):
             a, b = bounds[2 * i], bounds[2 * i + 1]
             uniq, n = np.unique(np.concatenate([x[a:b] for x in ids]), return_counts=True)
-            got.append((uniq, (n / n.sum()).astype(np.float32)))
+            got.append((uniq.astype(np.int32), (n / n.sum()).astype(np.float32)))
     return got
 
 
@@ -97,7 +98,7 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
     """Language and score of each whole text; `und` with score 0 for null and texts without a letter."""
     out: list[str] = []
     scores: list[np.ndarray] = []
-    for part in textnum.chunks(texts):
+    for part in textnum.chunks(texts, 1 << 19):
         if not model.langs:
             out += [UNKNOWN] * len(part)
             scores.append(np.zeros(len(part)))
@@ -112,7 +113,7 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
     return out, np.concatenate(scores) if scores else np.zeros(0)
 
 
-def sample(docs: DataFrame, per_lang: int = 500) -> tuple[list[str], list[str]]:
+def sample(docs: DataFrame, per_lang: int = 200) -> tuple[list[str], list[str]]:
     """About `per_lang` labelled rows of each language (at most twice that many), by a hash of the id, to the driver."""
     known = docs.where("lang is not null and text is not null and doc_id is not null")
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -126,10 +127,13 @@ def sample(docs: DataFrame, per_lang: int = 500) -> tuple[list[str], list[str]]:
     return [rows[i]["text"] for i in order], [rows[i]["lang"] for i in order]
 
 
-def train(docs: DataFrame, per_lang: int = 500, **options) -> Model:
+def train(docs: DataFrame, per_lang: int = 200, **options) -> Model:
     """Fit on a bounded sample of the labelled rows of docs(doc_id, text, lang): the caller removes held-out rows."""
     texts, langs = sample(docs, per_lang)
-    return fit(texts, langs, **options)
+    model = fit(texts, langs, **options)
+    del texts, langs
+    give_back()
+    return model
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -141,14 +145,12 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
-    def told(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in parts:
-            langs, scores = predict(shared.value, list(s))
-            yield pd.DataFrame({"lang": langs, "score": np.asarray(scores, float)})
+    def told(texts: list) -> list[pa.Array]:
+        langs, scores = predict(shared.value, texts)
+        ok = [x != UNKNOWN and s >= shared.value.threshold for x, s in zip(langs, scores, strict=True)]
+        return [pa.array(langs, pa.string()), pa.array(np.asarray(scores, float)), pa.array(ok, pa.bool_())]
 
-    got = docs.withColumn("_weft_lang", told(F.col(text)))
-    return got.withColumn("lang_pred", F.col("_weft_lang.lang")).withColumn("score", F.col("_weft_lang.score")).withColumn("accepted", (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= model.threshold)).drop("_weft_lang")
+    return with_columns(docs, text, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())], told)
 
 
 def held_out(docs: DataFrame) -> DataFrame:

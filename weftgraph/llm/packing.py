@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from collections.abc import Iterator
 from functools import reduce
-from itertools import accumulate, chain, pairwise
+from itertools import accumulate, chain, compress, pairwise, repeat
+from operator import is_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
-from .common import cut
+from .common import cut, give_back, slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", shard long, island int, bin int, offset long, bins int, fitness double"
 #: Words kept with their ids in a worker, in each of two generations.
 CACHE = 500_000
-_SPACE = re.compile(r"[\t\n\r\f\v]")
+_SPACE = re.compile(r"[ \t\n\r\f\v]")
 #: A full stop or comma after another mark belongs to the same token as that.
 _RUN = re.compile(r"[.,] (?<=[^\w\s]..|_..)")
 _tokenizers: dict[str, Words] = {}
@@ -29,15 +32,15 @@ _tokenizers: dict[str, Words] = {}
 def split(text: str) -> list[str]:
     """A text's words. Those of Latin-1 are lower-cased, and a lone full stop or comma at a word's end stands alone:
     the tokenizer gives the same ids for either form, and fewer distinct words are to be kept."""
-    text = _SPACE.sub(" ", text)
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
-        return text.split(" ")
+        return _SPACE.split(text)
     text = text.lower()
     if not _RUN.search(text):
         text = text.replace(". ", " . ").replace(", ", " , ")
-    return text.split(" ")
+    # the four separators that are white space to Python alone
+    return _SPACE.split(text) if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text else text.split()
 
 
 class Words:
@@ -73,7 +76,7 @@ class Words:
                 new.append(w)
             else:
                 self.known[w] = got
-        self._encode(sorted(new))
+        self._encode(new)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         if len(self.known) >= CACHE:
@@ -81,7 +84,7 @@ class Words:
         parts = [split(t) for t in texts]
         flat = list(chain.from_iterable(parts))
         found = list(map(self.known.get, flat))
-        gaps = [i for i, x in enumerate(found) if x is None]
+        gaps = list(compress(range(len(found)), map(is_, found, repeat(None))))
         if gaps:
             self._learn({flat[i] for i in gaps})
             for i in gaps:
@@ -96,24 +99,29 @@ def words(path: str) -> Words:
     return _tokenizers[path]
 
 
-def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int = 0, keep_words: bool = True) -> DataFrame:
     """Of each row of docs(doc_id, text): its ids and end_id, cut every `size` ids; a null text is empty."""
 
-    def told(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = words(tokenizer)
         last = np.array([end_id], "<u4").tobytes()
-        for pdf in parts:
+        gc.disable()  # nothing here is cyclic, and there is much to walk
+        for batch in slices(batches, 1024):
             rows = []
-            found = (ids for part in textnum.chunks(pdf["text"]) for ids in own.ids(part))
-            for doc, ids in zip(pdf["doc_id"], found, strict=True):
+            found = (ids for part in textnum.chunks(batch.column(1).to_pylist(), 1 << 20) for ids in own.ids(part))
+            for doc, ids in zip(batch.column(0).to_pylist(), found, strict=True):
                 ids += last
                 for k in range(0, len(ids), 4 * size):
                     part = ids[k : k + 4 * size]
                     rows.append((doc, k // (4 * size), k // 4, len(part) // 4, zlib.crc32(part)))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        if not keep_words:
+            own.known, own.old = {"": b""}, {}
+            give_back()
+        gc.enable()
 
-    return docs.select("doc_id", "text").mapInPandas(told, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(told, PIECES)
 
 
 class Bins:
@@ -273,7 +281,7 @@ def _packed(items: DataFrame, capacity: int, shards: int, islands: int, epochs:
     return now.join(best, ["shard", "island"])
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, shard_items: int = 8192, islands: int = 2, epochs: int = 2, generations: int = 10, population: int = 4, settled: float = 0.99) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, shard_items: int = 8192, islands: int = 2, epochs: int = 2, generations: int = 10, population: int = 4, settled: float = 0.99, keep_words: bool = True) -> DataFrame:
     """Pack all rows of docs(doc_id, text) into sequences of at most `size` tokens: a row for each piece.
 
     A row's ids are the tokenizer's, then end_id; only longer ones are cut, into pieces of `size`. Pieces are dealt to
@@ -281,8 +289,9 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, sha
     their elites on between epochs. Bins filled less than `settled` are dissolved and their pieces packed again, with
     those of other shards, until one shard is left. Null and empty texts are one token; null ids, ties and repeated
     rows are packed like any others; an empty table gives no rows; other columns are ignored.
+    keep_words leaves the ids of known words with a worker for its next task.
     """
-    left = cut(pieces(docs, tokenizer, size, end_id))
+    left = cut(pieces(docs, tokenizer, size, end_id, keep_words))
     done: list[DataFrame] = []
     for level in range(8):
         n = left.count()

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textnum
+from .common import with_columns
 
 #: Grades: toxic, poor, good.
 GRADES = 3
@@ -172,12 +173,9 @@ def grade(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5)
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("grade double, p_not_toxic double, p_good double")
-    def told(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in parts:
-            mean, tail = predict(shared.value, list(s))
-            yield pd.DataFrame({"grade": mean, "p_not_toxic": tail[:, 0], "p_good": tail[:, 1]})
+    def told(texts: list) -> list[pa.Array]:
+        mean, tail = predict(shared.value, texts)
+        return [pa.array(mean), pa.array(tail[:, 0].copy()), pa.array(tail[:, 1].copy())]
 
-    got = docs.withColumn("_weft", told(F.col(text)))
-    got = got.withColumns({"expected_grade": F.col("_weft.grade"), "p_not_toxic": F.col("_weft.p_not_toxic"), "p_good": F.col("_weft.p_good")})
-    return got.withColumn("selected", (F.col("p_not_toxic") >= least) & (F.col("p_good") >= least)).drop("_weft")
+    got = with_columns(docs, text, [T.StructField(c, T.DoubleType()) for c in ("expected_grade", "p_not_toxic", "p_good")], told)
+    return got.withColumn("selected", (F.col("p_not_toxic") >= least) & (F.col("p_good") >= least))

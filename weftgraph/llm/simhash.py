@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import components, cut
+from .common import components, cut, with_columns
 
 BITS = 64
 
@@ -45,12 +44,10 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", words: int = 3) -> DataFrame:
     """docs with its fingerprint as a signed long column, over whole texts."""
 
-    @F.pandas_udf("long")
-    def fp(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in parts:
-            yield pd.Series(np.array([fingerprint(t, words) for t in s], np.uint64).view(np.int64))
+    def made(texts: list) -> list[pa.Array]:
+        return [pa.array(np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64))]
 
-    return docs.withColumn(out, fp(F.col(text)))
+    return with_columns(docs, text, [T.StructField(out, T.LongType())], made)
 
 
 def masks(radius: int) -> list[int]:
