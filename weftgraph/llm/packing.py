@@ -273,10 +273,16 @@ def _packed(items: DataFrame, capacity: int, shards: int, islands: int, epochs:
     df = items.withColumn("shard", shard).withColumn("island", F.explode(F.array(*[F.lit(k) for k in range(islands)])))
     now = cut(_epoch(df, capacity, generations, population, 0))
     for number in range(1, epochs):
+        # a shard with as few bins as its total allows is done; its islands have nothing to send
+        state = now.groupBy("shard").agg(F.min("bins").alias("b"), (F.sum("length") / islands).alias("total"))
+        solved = cut(state.where(F.col("b") <= F.ceil(F.col("total") / capacity)).select("shard"))
+        if solved.count() >= shards:
+            break
+        done, now = now.join(solved, "shard", "left_semi"), now.join(solved, "shard", "left_anti")
         # each island's elite also goes to the next island of its shard
         to = F.array(F.struct(F.col("island").alias("to"), F.lit(0).alias("origin")), F.struct(((F.col("island") + 1) % islands).cast("int").alias("to"), F.lit(1).alias("origin")))
         sent = now.withColumn("x", F.explode(to)).withColumn("island", F.col("x.to")).withColumn("origin", F.col("x.origin")).drop("x", "bins", "fitness")
-        now = cut(_epoch(sent, capacity, generations, population, number))
+        now = cut(_epoch(sent, capacity, generations, population, number).unionByName(done.select(*now.columns)))
     best = now.groupBy("shard").agg(F.min(F.struct("bins", -F.col("fitness"), "island"))["island"].alias("island"))
     return now.join(best, ["shard", "island"])
 
