@@ -360,7 +360,7 @@ def write_mesh(mesh: Mesh, path: str, kind: str, one_file: bool = True, **option
 
 
 def hdf5_tables(path: str, groups: list[str]):
-    """Datasets of an HDF5 file as numpy arrays, where h5py is installed; compact, PETSc, CGNS and Exodus II layouts start here."""
+    """Datasets of an HDF5 file as numpy arrays, where h5py is installed; compact, CGNS and Exodus II layouts start here."""
     try:
         import h5py
     except ImportError as e:
