@@ -228,6 +228,13 @@ def join_parts(s, d):
     return lattice.join(incidence(s, d), p)
 
 
+@query()
+def join_all_parts(s, d):
+    """Pairs are every part with its successor, where join_parts and its SQL take every tenth."""
+    p = t(s, d, "part").select(point(PART, F.col("p_partkey")).alias("a"), point(PART, F.col("p_partkey") + 1).alias("b"))
+    return lattice.join(incidence(s, d), p)
+
+
 @query(f"with {ARROWS}, short as (select {id_(1, 'n_regionkey')} as src, {id_(3, 'c_custkey')} as dst from customer join nation on c_nationkey = n_nationkey) select src, dst from short")
 def redundant_arrows(s, d):
     return lattice.redundant(with_shortcuts(s, d))
