@@ -198,6 +198,13 @@ def closure_region(s, d):
     return traverse.closure(incidence(s, d), s.range(1).select(point(REGION, F.col("id")).alias("point")))
 
 
+@query()
+def closure_regions(s, d):
+    """The closure of every region, where closure_region and its SQL take region 0."""
+    seeds = t(s, d, "region").select(point(REGION, F.col("r_regionkey")).alias("region"), point(REGION, F.col("r_regionkey")).alias("point"))
+    return traverse.closure(incidence(s, d), seeds, keys=["region"])
+
+
 @query(f"with recursive {ARROWS}, walk(point, depth) as (select {id_(5, 'p_partkey')}, 0 from part where p_size = 1 union select a.src, w.depth + 1 from walk w join arrows a on a.dst = w.point) select point, min(depth)::int as depth from walk group by point")
 def star_part(s, d):
     return traverse.star(incidence(s, d), t(s, d, "part").where("p_size = 1").select(point(PART, F.col("p_partkey")).alias("point")))
@@ -259,6 +266,12 @@ def closure_edges(s, d):
     return lattice.closure_edges(a)
 
 
+@query()
+def closure_edges_all(s, d):
+    """Over all arrows, where closure_edges and its SQL leave suppliers and parts out."""
+    return lattice.closure_edges(incidence(s, d))
+
+
 # --- adjacency
 
 
@@ -349,6 +362,13 @@ def extract_submesh(s, d):
     return labels.extract_submesh(incidence(s, d).where(f"dst < {SUPPLIER * 10**12}"), own, "region", 1)[0]
 
 
+@query()
+def extract_whole_submesh(s, d):
+    """Over all arrows, where extract_submesh and its SQL stop at customers."""
+    own = t(s, d, "nation").select(F.lit("region").alias("name"), point(NATION, F.col("n_nationkey")).alias("point"), F.col("n_regionkey").cast("int").alias("value"))
+    return labels.extract_submesh(incidence(s, d), own, "region", 1)[0]
+
+
 # --- sections
 
 
