@@ -96,3 +96,9 @@ def test_repeats_nulls_and_empty(spark):
     got = pii.replace(docs, KEY).collect()
     assert len(got) == 3 and len({r.text for r in got}) == 1 and got[0].n_entities == 1
     assert pii.replace(docs.limit(0), KEY).count() == 0
+
+
+def test_keys_of_letters_only(spark):
+    keys = ["AKIA" + "QWERTYUIOPASDFGH", "ghp_" + "abcdefghijklmnopqrSTUVWXYZabcdefghij", "sk-" + "abcdefghijklmnopqrstuv", "abcdef" * 6, "ABCDEF" * 6]
+    docs = spark.createDataFrame([(k, f"has {x} inside") for k, x in enumerate(keys)], "doc_id long, text string")
+    assert [r.n for r in pii.detected(docs).selectExpr("size(_weft_found) as n").collect()] == [1] * 5

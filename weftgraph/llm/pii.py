@@ -184,8 +184,8 @@ def _with_core(found: Column) -> Column:
 
 def detected(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with _weft_found, an array of (m, k, c); empty for null texts and texts without an entity."""
-    # every alternative holds a digit, an @, a keyword with = or :, or two words of which the second has a capital
-    likely = F.col(text).rlike(r"[0-9@=:]|[A-ZÀ-ÞΑ-ΫΆ-ΏЀ-Я][\p{L}-]*\.? \p{Lu}")
+    # every alternative holds a digit, an @, a keyword with = or :, a key's start or letters, or two words of which the second has a capital
+    likely = F.col(text).rlike(r"[0-9@=:]|AKIA|ghp_|sk-|[a-f]{32}|[A-F]{32}|[A-ZÀ-ÞΑ-ΫΆ-ΏЀ-Я][\p{L}-]*\.? \p{Lu}")
     got = docs.withColumn("_weft_found", F.when(likely, mentions(F.col(text))))
     return got.withColumn("_weft_found", F.coalesce(_with_core(F.col("_weft_found")), F.array().cast("array<struct<m:string,k:string,c:string>>")))
 
