@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -23,7 +24,7 @@ def plain(tokenizer, text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n\t.,'!_sStT|<>²ªÀéß́ 　ΣσİK")), max_size=30), min_size=1, max_size=4))
+@given(st.lists(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n\t\x1c\x1d\x1e\x1f\x85.,'!_sStT|<>²ªÀéß́ 　ΣσİK")), max_size=30), min_size=1, max_size=4))
 def test_word_ids_are_the_tokenizers(tokenizer, texts):
     own = packing.words(PATH)
     for t, ids in zip(texts, own.ids(texts), strict=True):
@@ -32,7 +33,7 @@ def test_word_ids_are_the_tokenizers(tokenizer, texts):
 
 def test_special_words(tokenizer):
     own = packing.words(PATH)
-    texts = ["a<|endoftext|> b., c. d, ., e", "it's, don't. I'M", "X. Y, Z.", "x..  , ,y ¿que?. No", "ΑΣ. Β"]
+    texts = ["a<|endoftext|> b., c. d, ., e", "it's, don't. I'M", "X. Y, Z.", "x..  , ,y ¿que?. No", "ΑΣ. Β", "\x1d, ", "a\x1c. b", "a.\x1f, b\x1e.\x1e ,c", "x\x1c.\n.\x1d y"]
     assert [np.frombuffer(x, "<u4").tolist() for x in own.ids(texts)] == [plain(tokenizer, t) for t in texts]
 
 
@@ -97,6 +98,12 @@ def test_crossover_keeps_every_item_once_and_inherits_full_bins():
     assert all(100 - sum(sizes[i] for i in x) == r >= 0 for x, r in zip(child.items, child.room, strict=True))
 
 
+def best_fit_decreasing(sizes, capacity):
+    out = packing.Bins(capacity)
+    out.best_fit(sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes)
+    return out
+
+
 def test_evolution_improves_on_best_fit():
     """Triplets: 3 items fill each bin exactly, where best fit decreasing wastes room."""
     r = random.Random(5)
@@ -105,7 +112,21 @@ def test_evolution_improves_on_best_fit():
         x = r.randrange(38, 50)
         y = r.randrange((100 - x) // 2 - 3, (100 - x) // 2)
         sizes += [x, y, 100 - x - y]
-    first = packing.Bins(100)
-    first.best_fit(sorted(range(90), key=lambda i: -sizes[i]), sizes)
-    best = packing.evolve(sizes, 100, 1, 400, 12, [])
-    assert len(best.items) <= len(first.items) and len(best.items) < 34
+    best, accepted = packing.evolve(sizes, 100, 1, 400, 12, [])
+    assert len(best.items) <= len(best_fit_decreasing(sizes, 100).items) and len(best.items) < 34 and accepted > 10
+
+
+def test_control_characters(tokenizer):
+    own, r = packing.words(PATH), random.Random(3)
+    texts = ["".join(r.choices("ab., \x1c\x1d\x1e\x1f_!\n", k=r.randrange(1, 9))) for _ in range(4000)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.ids(texts)] == [plain(tokenizer, t) for t in texts]
+
+
+def test_crossovers_decide_on_the_driver_data(tokenizer):
+    """On the documents of sf0.01 the first packings use more bins than the result, and crossovers lead there."""
+    texts = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")["text"]
+    sizes = [n for x in packing.words(PATH).ids([t or "" for t in texts]) for full in [len(x) // 4 + 1] for n in [2048] * (full // 2048) + [full % 2048] * (full % 2048 > 0)]
+    first = [packing.greedy(sizes, 2048, np.random.default_rng(k)) for k in range(4)]
+    best, accepted = packing.evolve(sizes, 2048, 0, 20, 4, [])
+    assert accepted >= 1 and len(best.items) < min(len(x.items) for x in first)
+    assert len(best.items) <= len(best_fit_decreasing(sizes, 2048).items) + 1

@@ -24,8 +24,8 @@ PLACED = PIECES + ", shard long, island int, bin int, offset long, bins int, fit
 #: Words kept with their ids in a worker, in each of two generations.
 CACHE = 500_000
 _SPACE = re.compile(r"[ \t\n\r\f\v]")
-#: A full stop or comma after another mark belongs to the same token as that.
-_RUN = re.compile(r"[.,] (?<=[^\w\s]..|_..)")
+#: A full stop or comma after another mark belongs to the same token as that; 1C to 1F are marks to the tokenizer.
+_RUN = re.compile(r"[.,] (?<=[^\w\s]..|[_\x1c-\x1f]..)")
 _tokenizers: dict[str, Words] = {}
 
 
@@ -166,8 +166,12 @@ class Bins:
         return float(np.mean((1 - np.array(self.room) / self.capacity) ** 2)) if self.room else 1.0
 
 
+def _rank(x: Bins) -> tuple[int, float]:
+    return len(x.items), -x.fitness()
+
+
 def _best(found: list[Bins]) -> Bins:
-    return min(found, key=lambda x: (len(x.items), -x.fitness()))
+    return min(found, key=_rank)
 
 
 def crossover(a: Bins, b: Bins, sizes: list[int], rng: np.random.Generator, share: float = 0.4) -> Bins:
@@ -191,11 +195,11 @@ def crossover(a: Bins, b: Bins, sizes: list[int], rng: np.random.Generator, shar
     return child
 
 
-def mutate(x: Bins, sizes: list[int], rng: np.random.Generator) -> Bins:
-    """The emptiest bins and a few others are dissolved and their items best-fitted in a noisy order."""
+def mutate(x: Bins, sizes: list[int], rng: np.random.Generator, share: float = 0.3) -> Bins:
+    """The emptiest bins and as many others are dissolved and their items, largest first, best-fitted into what is left."""
     n = len(x.items)
-    worst = np.argsort(-np.array(x.room), kind="stable")[: max(2, n // 50)]
-    gone = set(worst.tolist()) | set(rng.integers(0, n, max(1, n // 50)).tolist())
+    m = max(2, int(n * share))
+    gone = set(np.argsort(-np.array(x.room), kind="stable")[:m].tolist()) | set(rng.integers(0, n, m).tolist())
     out = Bins(x.capacity)
     loose: list[int] = []
     for k in range(n):
@@ -203,34 +207,47 @@ def mutate(x: Bins, sizes: list[int], rng: np.random.Generator) -> Bins:
             loose += x.items[k]
         else:
             out.add(list(x.items[k]), x.room[k])
-    noise = rng.uniform(0.8, 1.2, len(loose))
-    loose = [i for _, i in sorted(((-sizes[i] * f, i) for i, f in zip(loose, noise, strict=True)))]
+    loose.sort(key=lambda i: -sizes[i])
     out.best_fit(loose, sizes)
     return out
 
 
-def evolve(sizes: list[int], capacity: int, seed: int, generations: int, population: int, migrants: list[Bins]) -> Bins:
-    """The best packing found; stops as soon as one has the fewest bins that the total allows."""
+def greedy(sizes: list[int], capacity: int, rng: np.random.Generator) -> Bins:
+    """A first packing: best fit in an order of sizes under noise, so that the members of a population differ."""
+    out = Bins(capacity)
+    noise = np.asarray(sizes) * rng.uniform(0.7, 1.3, len(sizes))
+    out.best_fit(np.argsort(-noise, kind="stable").tolist(), sizes)
+    return out
+
+
+def evolve(sizes: list[int], capacity: int, seed: int, generations: int, population: int, migrants: list[Bins]) -> tuple[Bins, int]:
+    """The best packing found and the number of children that entered the population.
+
+    The population starts from noisy greedy packings, or from migrants. Each generation crosses two members; the child,
+    at times mutated, replaces the worst if it has fewer bins, or as many that are fuller. Evolution ends with the
+    generations, or when a packing has the fewest bins that the total allows.
+    """
     rng = np.random.default_rng(seed)
     least = -(-sum(sizes) // capacity)
     pool = list(migrants)
-    if not pool:
-        first = Bins(capacity)
-        first.best_fit(sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), sizes)
-        pool.append(first)
-    while len(_best(pool).items) > least and len(pool) < population:
-        pool.append(mutate(pool[int(rng.integers(len(pool)))], sizes, rng))
+    while len(pool) < population:
+        pool.append(greedy(sizes, capacity, rng))
+    rank = [_rank(x) for x in pool]
+    accepted = 0
     for _ in range(generations):
-        if len(_best(pool).items) <= least:
+        if min(rank)[0] <= least:
             break
-        a, b = (min(rng.choice(len(pool), 2), key=lambda k: (len(pool[k].items), -pool[k].fitness())) for _ in range(2))
+        # the better of two draws, and another one
+        a = min(rng.integers(len(pool), size=2).tolist(), key=rank.__getitem__)
+        b = (a + int(rng.integers(1, len(pool)))) % len(pool)
         child = crossover(pool[a], pool[b], sizes, rng)
-        if rng.random() < 0.5:
+        if rng.random() < 0.7:
             child = mutate(child, sizes, rng)
-        pool.append(child)
-        pool.sort(key=lambda x: (len(x.items), -x.fitness()))
-        del pool[population:]
-    return _best(pool)
+        worst = max(range(len(pool)), key=rank.__getitem__)
+        if (new := _rank(child)) < rank[worst]:
+            pool[worst], rank[worst] = child, new
+            accepted += 1
+    return _best(pool), accepted
 
 
 def _epoch(df: DataFrame, capacity: int, generations: int, population: int, number: int) -> DataFrame:
@@ -255,7 +272,7 @@ def _epoch(df: DataFrame, capacity: int, generations: int, population: int, numb
         else:
             items = pdf.sort_values(key, kind="stable")
             sizes = items["length"].tolist()
-        got = evolve(sizes, capacity, (shard * 31 + island) * 31 + number, generations, population, starts)
+        got, _ = evolve(sizes, capacity, (shard * 31 + island) * 31 + number, generations, population, starts)
         where, offset = np.zeros(len(sizes), np.int32), np.zeros(len(sizes), np.int64)
         for b, members in enumerate(got.items):
             at = 0
@@ -287,13 +304,13 @@ def _packed(items: DataFrame, capacity: int, shards: int, islands: int, epochs:
     return now.join(best, ["shard", "island"])
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, shard_items: int = 8192, islands: int = 2, epochs: int = 2, generations: int = 10, population: int = 4, settled: float = 0.99, keep_words: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, shard_items: int = 4096, islands: int = 2, epochs: int = 2, generations: int = 10, population: int = 4, settled: float = 0.99, keep_words: bool = True) -> DataFrame:
     """Pack all rows of docs(doc_id, text) into sequences of at most `size` tokens: a row for each piece.
 
     A row's ids are the tokenizer's, then end_id; only longer ones are cut, into pieces of `size`. Pieces are dealt to
     shards of about `shard_items` by a hash, whatever the input's size; a shard's islands evolve packings and pass
     their elites on between epochs. Bins filled less than `settled` are dissolved and their pieces packed again, with
-    those of other shards, until one shard is left. Null and empty texts are one token; null ids, ties and repeated
+    those of other shards, until one shard is left, which evolves four times as long. Null and empty texts are one token; null ids, ties and repeated
     rows are packed like any others; an empty table gives no rows; other columns are ignored.
     keep_words leaves the ids of known words with a worker for its next task.
     """
@@ -302,7 +319,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, sha
     for level in range(8):
         n = left.count()
         shards = max(1, -(-n // shard_items))
-        got = cut(_packed(left, size, shards, islands, epochs, generations, population, level))
+        got = cut(_packed(left, size, shards, islands, epochs, generations * (1 if shards > 1 else 4), population, level))
         got = got.withColumn("sequence_id", (F.lit(level).cast("long") * (1 << 58)) + F.col("shard") * (1 << 20) + F.col("bin"))
         if shards == 1:
             done.append(got)
