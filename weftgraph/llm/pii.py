@@ -34,7 +34,7 @@ STAND_IN = {
 
 #: Forms of address that precede a name, and phrases that introduce one.
 TITLES = r"Mrs|Mr|Ms|Miss|Dr|Prof|Herr|Frau|Mme|Mlle|Monsieur|Madame|Señora|Señor|Sra|Sr|Г-жа|Г-н|Κυρία|Κύριος"
-INTRODUCED = r"[Mm]y name is|[Ii]ch hei(?:ß|ss)e|[Mm]ein Name ist|[Jj]e m['’]appelle|[Mm]e llamo|[Mm]i nombre es|[Мм]еня зовут|[Мм]ε λένε|(?:Full n|N)ame:|Contact:|Signed:"
+INTRODUCED = r"[Mm]y name is|[Ii]ch hei(?:ß|ss)e|[Mm]ein Name ist|[Jj]e m['’]appelle|[Mm]e llamo|[Mm]i nombre es|[Мм]еня зовут|[Μμ]ε λένε|(?:Full n|N)ame:|Contact:|Signed:"
 #: Endings of surnames that tell gender; they stay.
 ENDINGS = r"(?:ова|ева|ёва|ина|ына|ская|цкая|ов|ев|ёв|ин|ын|ский|цкий|ίδης|ίδου|όπουλος|οπούλου|άκης|άκη)$"
 
@@ -55,7 +55,7 @@ KINDS = {
     "ssn": r"\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": rf"(?<!\d\.)(?:{_octet}\.){{3}}{_octet}(?!\.?\d)",
     "phone": r"(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\d)",
-    "name": rf"(?:{_lead}{_word_of_name}(?: {_word_of_name})?+|(?:{_names}) \p{{Lu}}[\p{{L}}\p{{M}}]++{_more})",
+    "name": rf"(?=[\p{{Lu}}mijмμ])(?:{_lead}{_word_of_name}(?: {_word_of_name})?+|(?:{_names}) \p{{Lu}}[\p{{L}}\p{{M}}]++{_more})",
 }
 PATTERN = r"(?<![A-Za-z0-9_])(?:" + "|".join(f"(?:{p})" for p in KINDS.values()) + ")"
 
@@ -319,7 +319,7 @@ def _with_core(found: Column) -> Column:
 def detected(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with _weft_found, an array of (m, k, c); empty for null texts and texts without an entity."""
     # every alternative holds a digit, an @, a keyword with = or :, a key's start or letters, or two words of which the second has a capital
-    likely = F.col(text).rlike(r"[0-9@=:]|AKIA|ghp_|sk-|[a-f]{32}|[A-F]{32}|\p{Lu}[\p{L}\p{M}'’-]*+\.? [\p{Lu}\p{Lo}]|: ?\p{Lu}|(?:is|[sß]e|st|le|mo|es|ут|νε) [\p{Lu}\p{Lo}]")
+    likely = F.col(text).rlike(r"[0-9@=:]|AKIA|ghp_|sk-|[a-f]{32}|[A-F]{32}|\p{Lu}[\p{L}\p{M}'’-]*+\.? [\p{Lu}\p{Lo}]|(?:[nN]ame ist?|ch hei(?:ß|ss)e|appelle|llamo|nombre es|зовут|λένε) ")
     got = docs.withColumn("_weft_found", F.when(likely, mentions(F.col(text))))
     return got.withColumn("_weft_found", F.coalesce(_with_core(F.col("_weft_found")), F.array().cast("array<struct<m:string,k:string,c:string>>")))
 
