@@ -1,3 +1,6 @@
+import subprocess
+import sys
+from pathlib import Path
 import hashlib
 import random
 import struct
@@ -176,3 +179,24 @@ def test_query_columns(spark):
     blocks = flac.pcm_blocks(flac.store(docs.where("doc_id = 5").drop("media"))).orderBy("block").collect()
     assert b"".join((np.frombuffer(x.pcm, np.uint8) ^ 0x80).tobytes() for x in blocks) == flac.payload(texts[5][1])
     assert [x.sample_offset for x in blocks] == [1024 * k for k in range(len(blocks))]
+
+
+def test_long_text_is_worked_on_in_parts():
+    """64 MB of text within 1.5 GB, the interpreter and its libraries included, and the same stream however it is cut."""
+    code = """
+import resource, numpy as np
+from weftgraph.llm import flac
+r = np.random.default_rng(1)
+text = bytes(r.choice(np.frombuffer(b"etaoin shrdlu", np.uint8), 1 << 26)).decode()
+p = flac.payload(text)
+m = flac.encode([p])
+assert flac.decode(m) == [p] and flac.feature(p)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).resolve().parents[2])
+    assert int(out.stdout.split()[-1]) < 1500
+    r = np.random.default_rng(2)
+    payloads = [bytes(r.integers(60, 90, n, np.uint8)) for n in (64, 5000, 40_000, 1024, 2048, 100_000)]
+    whole = flac.encode(payloads, 1 << 30)
+    assert flac.encode(payloads, 3000) == whole == [flac.encode([p], 1024)[0] for p in payloads]
+    assert flac._decode(whole, 2000) == payloads

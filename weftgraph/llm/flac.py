@@ -125,26 +125,57 @@ def _zigzag(r: np.ndarray) -> np.ndarray:
 
 
 def encode(payloads: list[bytes], limit: int = 1 << 19) -> list[bytes]:
-    """A FLAC stream of each payload, byte b as sample b - 128. Payloads hold 16 bytes or more."""
-    out: list[bytes] = []
-    part: list[bytes] = []
-    size = 0
-    for p in payloads:
-        part.append(p)
-        size += len(p)
-        if size > limit:
-            out += _encode(part)
-            part, size = [], 0
-    return out + (_encode(part) if part else [])
+    """A FLAC stream of each payload, byte b as sample b - 128. Payloads hold 16 bytes or more.
 
+    About `limit` bytes are worked on at a time; a longer payload is cut between blocks, as frames don't depend on
+    each other.
+    """
+    limit = max(BLOCK, limit // BLOCK * BLOCK)
+    frames_of: list[list[tuple[bytes, np.ndarray]]] = [[] for _ in payloads]
+    part: list[tuple[int, int, bytes]] = []
+    size = 0
 
-def _encode(payloads: list[bytes]) -> list[bytes]:
+    def flush() -> None:
+        made = _encode([p for _, _, p in part], [at // BLOCK for _, at, _ in part])
+        for (i, _, _), one in zip(part, made, strict=True):
+            frames_of[i].append(one)
+
+    for i, p in enumerate(payloads):
+        for at in range(0, len(p), limit):
+            part.append((i, at, p[at : at + limit]))
+            size += len(part[-1][2])
+            if size >= limit:
+                flush()
+                part, size = [], 0
+    if part:
+        flush()
+    return [_stream(p, made) for p, made in zip(payloads, frames_of, strict=True)]
+
+
+def _stream(p: bytes, made: list[tuple[bytes, np.ndarray]]) -> bytes:
+    """Metadata with a seek point a frame, then the frames."""
+    sizes = np.concatenate([x for _, x in made])
+    digest = hashlib.md5(usedforsecurity=False)
+    for at in range(0, len(p), 1 << 20):
+        digest.update((np.frombuffer(p[at : at + (1 << 20)], np.uint8) ^ 0x80).tobytes())
+    info = struct.pack(">HH", BLOCK, BLOCK) + int(sizes.min()).to_bytes(3, "big") + int(sizes.max()).to_bytes(3, "big")
+    info += ((RATE << 44) | (0 << 41) | (7 << 36) | len(p)).to_bytes(8, "big") + digest.digest()
+    seek = np.zeros(len(sizes), np.dtype([("s", ">u8"), ("o", ">u8"), ("n", ">u2")]))
+    seek["s"] = np.arange(len(sizes)) * BLOCK
+    seek["o"], seek["n"] = np.cumsum(sizes) - sizes, np.minimum(BLOCK, len(p) - np.arange(len(sizes)) * BLOCK)
+    table = seek.tobytes()
+    return b"".join([b"fLaC\x00\x00\x00\x22", info, b"\x83", len(table).to_bytes(3, "big"), table, *[x for x, _ in made]])
+
+
+def _encode(payloads: list[bytes], first_number: list[int]) -> list[tuple[bytes, np.ndarray]]:
+    """Of each payload, whose first frame has the given number: its frames, joined, and their sizes."""
     counts = np.array([-(-len(p) // BLOCK) for p in payloads])
     first = np.cumsum(counts) - counts
     flat = np.frombuffer(b"".join(payloads) + bytes(BLOCK), np.uint8)
     begins = np.cumsum([0, *map(len, payloads)])
     number = np.arange(counts.sum()) - np.repeat(first, counts)
     start = np.repeat(begins[:-1], counts) + number * BLOCK
+    number = number + np.repeat(np.array(first_number), counts)
     n = np.minimum(np.repeat(begins[1:], counts) - start, BLOCK)
     t = np.arange(BLOCK)
     live = t < n[:, None]
@@ -221,18 +252,7 @@ def _encode(payloads: list[bytes]) -> list[bytes]:
     check = crc16(buf, at, at + frame - 2)
     buf[at + frame - 2], buf[at + frame - 1] = check >> 8, check & 0xFF
 
-    out = []
-    for p, a, m in zip(payloads, first.tolist(), counts.tolist(), strict=True):
-        sizes = frame[a : a + m]
-        lo, hi = int(at[a]), int(at[a + m - 1] + frame[a + m - 1])
-        md5 = hashlib.md5((np.frombuffer(p, np.uint8) ^ 0x80).tobytes(), usedforsecurity=False).digest()
-        info = struct.pack(">HH", BLOCK, BLOCK) + int(sizes.min()).to_bytes(3, "big") + int(sizes.max()).to_bytes(3, "big")
-        info += ((RATE << 44) | (0 << 41) | (7 << 36) | len(p)).to_bytes(8, "big") + md5
-        seek = np.zeros(m, np.dtype([("s", ">u8"), ("o", ">u8"), ("n", ">u2")]))
-        seek["s"], seek["o"], seek["n"] = np.arange(m) * BLOCK, at[a : a + m] - lo, n[a : a + m]
-        table = seek.tobytes()
-        out.append(b"fLaC\x00\x00\x00\x22" + info + b"\x83" + len(table).to_bytes(3, "big") + table + joined[lo:hi])
-    return out
+    return [(bytes(joined[int(at[a]) : int(at[a + m - 1] + frame[a + m - 1])]), frame[a : a + m].astype(np.int64)) for a, m in zip(first.tolist(), counts.tolist(), strict=True)]
 
 
 class Stream:
@@ -446,25 +466,45 @@ def samples(media: bytes) -> np.ndarray:
     return np.concatenate(got) if got else np.zeros(0, np.int64)
 
 
-def _decode(media: list[bytes]) -> list[bytes]:
+def _decode(media: list[bytes], limit: int = 1 << 19) -> list[bytes]:
     streams = [Stream(m) for m in media]
-    base = np.cumsum([0, *map(len, media)])
-    starts, own, values = [], [], {}
-    for i, s in enumerate(streams):
+    values: list[list[np.ndarray]] = [[] for _ in media]
+    starts: list[int] = []
+    own: list[int] = []
+    parts: list[bytes] = []
+    size = 0
+
+    def flush() -> None:
+        for i, v in zip(own, frames(b"".join(parts), np.array(starts, np.int64), 8)[0], strict=True):
+            values[i].append(v.astype(np.int8))
+
+    for i, (s, m) in enumerate(zip(streams, media, strict=True)):
         if s.bits != 8:
             raise ValueError("not 8-bit samples")
-        if s.complete():
-            starts += [int(base[i]) + s.audio + o for _, o, _ in s.points]
-            own += [i] * len(s.points)
-        else:
-            values[i] = [samples(media[i])]
-    found, _ = frames(b"".join(media), np.array(starts, np.int64), 8) if starts else ([], None)
-    for i, v in zip(own, found, strict=True):
-        values.setdefault(i, []).append(v)
+        if not s.complete():
+            values[i] = [samples(m).astype(np.int8)]
+            continue
+        offsets = [s.audio + o for _, o, _ in s.points] + [len(m)]
+        k = 0
+        while k < len(s.points):  # frames of a long stream in several lots
+            e = k + 1
+            while e < len(s.points) and offsets[e + 1] - offsets[k] <= limit:
+                e += 1
+            starts += [size + o - offsets[k] for o in offsets[k:e]]
+            own += [i] * (e - k)
+            parts.append(m[offsets[k] : offsets[e]])
+            size += len(parts[-1])
+            k = e
+            if size >= limit:
+                flush()
+                starts, own, parts, size = [], [], [], 0
+    if starts:
+        flush()
     out = []
-    for i, s in enumerate(streams):
-        v = np.concatenate(values.get(i, [np.zeros(0, np.int64)])).astype(np.int8)
-        if len(v) != s.n or s.md5.strip(b"\0") and hashlib.md5(v.tobytes(), usedforsecurity=False).digest() != s.md5:
+    for s, got in zip(streams, values, strict=True):
+        v = np.concatenate([*got, np.zeros(0, np.int8)])
+        got.clear()
+        if len(v) != s.n or s.md5.strip(b"\0") and hashlib.md5(v, usedforsecurity=False).digest() != s.md5:
             raise ValueError("stream checksum mismatch")
         out.append((v.view(np.uint8) ^ 0x80).tobytes())
     return out
@@ -490,9 +530,13 @@ def payload(text: str | None) -> bytes:
 
 def feature(v: bytes) -> str:
     """Peak, energy, zero crossings and mean of a payload's samples, in whole numbers."""
-    x = np.frombuffer(v, np.uint8).astype(np.int64) - 128
-    cross = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-    return f"peak={int(np.abs(x).max())};energy={int(x @ x)};crossings={cross};sum={int(x.sum())}"
+    peak = energy = cross = total = 0
+    for at in range(0, len(v), 1 << 20):
+        x = np.frombuffer(v[max(0, at - 1) : at + (1 << 20)], np.uint8).astype(np.int64) - 128
+        cross += int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
+        x = x[min(at, 1) :]
+        peak, energy, total = max(peak, int(np.abs(x).max())), energy + int(x @ x), total + int(x.sum())
+    return f"peak={peak};energy={energy};crossings={cross};sum={total}"
 
 
 def store(docs: DataFrame, text: str = "text") -> DataFrame:
