@@ -1,5 +1,8 @@
 import hashlib
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -66,8 +69,8 @@ def test_hot_anchors_send_string_hashes():
     texts = [t.encode() for t in corpus(5, 60)]
     import pandas as pd
 
-    def run(hot):
-        sx.HOT, old = hot, sx.HOT
+    def run(hot, piece=sx.PIECE):
+        sx.HOT, sx.PIECE, old = hot, piece, (sx.HOT, sx.PIECE)
         try:
             docs = pd.DataFrame({"doc_id": range(len(texts)), "text": [t.decode() for t in texts], "oid": range(len(texts)), "tie": 0, "g": [i % 5 for i in range(len(texts))]})
             none = pd.DataFrame({"oid": [], "tie": [], "kind": [], "data": []})
@@ -79,13 +82,14 @@ def test_hot_anchors_send_string_hashes():
             rows = pd.concat([sx._finish(100, False)(x, found[found.g == x.g.iloc[0]].assign(oid=0, tie=0)) for x in groups])
             return set(sent.kind), dict(zip(rows.doc_id, zip(rows.n_removed, rows.n_spans, rows.kept_sha256, strict=True), strict=True))
         finally:
-            sx.HOT = old
+            sx.HOT, sx.PIECE = old
 
     kinds, hot = run(1)
     assert kinds >= {1, 2} or 2 in kinds
     few, cold = run(64)
     assert 1 in few and 2 not in few
     want = brute([t.decode() for t in texts])
+    assert run(64, 150)[1] == run(1, 333)[1] == hot  # documents cut into overlapping pieces
     assert hot == cold == {i: x[1:] for i, x in enumerate(want)}
 
 
@@ -120,3 +124,25 @@ def test_nulls_repeats_long_and_empty(spark):
     assert sx.remove_repeats(df.limit(0)).count() == 0
     kept = {x.doc_id: bytes(x.kept) for x in sx.remove_repeats(df.where("doc_id = 5 or doc_id is null"), keep_text=True).collect()}
     assert kept[5] == long.encode() and kept[None] == p.encode()
+
+
+def test_equal_hashes_of_different_strings_are_told_apart():
+    table = np.frombuffer(b"aaaaabbbbbaaaaabbbbbccccc", np.uint8).reshape(5, 5)
+    late = sx._verified(table, np.zeros(5, int), 5, np.arange(5), np.array([1, 1, 1, 1, 4]), np.array([3, 0, 1, 2, 4]))
+    assert late.tolist() == [True, False, False, True, False]
+
+
+def test_long_text_is_worked_on_in_pieces():
+    """64 MB of text in one document within 1.5 GB, the interpreter and its libraries included."""
+    code = """
+import resource, numpy as np, pandas as pd
+from weftgraph.llm import suffixes as sx
+r = np.random.default_rng(1)
+text = bytes(r.choice(np.frombuffer(b"etaoin shrdlu", np.uint8), 1 << 26)).decode()
+docs = pd.DataFrame({"doc_id": [1], "text": [text], "oid": [1], "tie": [0], "g": [0]})
+none = pd.DataFrame({"oid": [], "tie": [], "kind": [], "data": []})
+n = len(sx._announce(100, 4)(docs, none))
+print(n, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).resolve().parents[2])
+    assert int(out.stdout.split()[-1]) < 1500

@@ -116,14 +116,16 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFra
 
 
 def representatives(docs: DataFrame, radius: int = 2, words: int = 3) -> DataFrame:
-    """docs without the near-duplicates: of each component only the row of its smallest doc_id, one if rows repeat.
+    """docs without the near-duplicates: one row of each component, that of its smallest doc_id.
 
-    Rows with a null doc_id stay only if their component has no known id; then each such row stays.
+    Of several rows of that id the one with the least fingerprint stays, so texts that share an id and belong to
+    different components both stay; null ids come after all others; rows alike in id and fingerprint are one. An empty
+    table gives no rows; other columns are untouched, and of rows alike in id and fingerprint any one's are kept.
     """
-    groups = near_duplicates(docs, radius, words)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    lone = groups.where("component_id is null").select("fingerprint").distinct()
-    bare = fingerprints(docs.where("doc_id is null"), out="_weft_fp")
-    bare = bare.join(lone, F.lower(F.lpad(F.hex("_weft_fp"), 16, "0")) == lone.fingerprint, "left_semi").drop("_weft_fp")
-    return named.unionByName(bare)
+    marked = cut(fingerprints(docs, out="_weft_fp", words=words))
+    prints = marked.groupBy("_weft_fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first"))
+    found = cut(components(links(prints.select(F.col("_weft_fp").alias("fp")), radius)))
+    of = prints.join(found, prints._weft_fp == found.node, "left").select(F.coalesce("component", "_weft_fp").alias("root"), "first", "_weft_fp")
+    keep = of.groupBy("root").agg(F.min(F.struct("first.none", "first.doc_id", "_weft_fp")).alias("k")).select(F.col("k.doc_id").alias("_weft_id"), F.col("k._weft_fp").alias("_weft_kept"))
+    kept = marked.join(keep, marked.doc_id.eqNullSafe(keep._weft_id) & (marked._weft_fp == keep._weft_kept), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_weft_fp"]).drop("_weft_fp")

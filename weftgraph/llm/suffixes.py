@@ -4,7 +4,11 @@ A string of LENGTH bytes holds LENGTH - GRAM + 1 grams; the least by hash is its
 so equal strings meet at equal anchors. Only suffixes that start at anchors are sorted, and only those whose gram
 comes up more than once in the corpus.
 
-1. Each chunk of documents hashes its grams and sends each anchor's hash once; buckets tell the chunks which repeat.
+A chunk of documents is worked on in pieces of a few megabytes; a longer document is cut into pieces that overlap by
+LENGTH - 1 bytes, so each string is in one. Whole strings are compared by bytes, or by 128 bits of hashes where they
+don't meet.
+
+1. Each piece hashes its grams and sends each anchor's hash once; buckets tell the chunks which repeat.
 2. Each chunk sorts the suffixes at its repeated anchors and sends them front-coded, one run for each bucket. Anchors
    that stand in the same surroundings are sent once, the first; the others are known to be repeats. Anchors in very
    many chunks send the hashes of their strings instead, which spread over all buckets.
@@ -29,22 +33,33 @@ from .textnum import U64
 
 GRAM = 32
 CHUNK = 4 << 20
+#: Bytes that are in memory with their hashes at once.
+PIECE = 2 << 20
 BUCKET = 16 << 20
 #: An anchor in more chunks than this sends the hashes of its strings.
 HOT = 64
 FLAGS = U64(3)
+#: Base of the second hash.
+OTHER = 0xD1342543DE82EF95
 ROW = "g long, bucket int, kind int, data binary"
 
 
 class Anchors:
-    """Anchors of a chunk's documents: at (place), doc, lo and hi (first and last start of its strings), gram (hash)."""
+    """Anchors of a piece's texts: at (place), doc, lo and hi (first and last start of its strings), gram (hash).
+
+    shift: of each text, what takes a place in the piece to one in its document; number: its document's in the chunk.
+    """
 
-    def __init__(self, texts: list[bytes], length: int):
+    def __init__(self, piece: list[tuple[int, int, bytes]], length: int):
         self.length = length
+        texts = [t for _, _, t in piece]
+        self.number = np.array([d for d, _, _ in piece], np.int64)
+        self.shift = np.array([b for _, b, _ in piece], np.int64) - np.cumsum([0, *map(len, texts)])[:-1]
         self.buf = np.frombuffer(b"".join(texts), np.uint8)
         self.bounds = np.cumsum([0, *map(len, texts)])
         n = len(self.buf) - GRAM + 1
         self.sums = textnum.prefix(self.buf)
+        self.other: np.ndarray | None = None
         empty = np.zeros(0, np.int64)
         self.at, self.lo, self.hi, self.doc, self.gram = empty, empty, empty, empty, empty.astype(U64)
         if len(self.buf) < length:
@@ -73,18 +88,40 @@ class Anchors:
         self.doc = np.searchsorted(self.bounds, self.at, "right") - 1
         self.gram = h[self.at] & ~FLAGS
 
-    def around(self, k: np.ndarray) -> np.ndarray:
-        """Hashes of all that an anchor's strings hold, with the anchor's place in it."""
+    def around(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of hash of all that an anchor's strings hold, with the anchor's place in it."""
+        if self.other is None:
+            self.other = textnum.prefix(self.buf, OTHER)
         with np.errstate(over="ignore"):
-            whole = textnum.spans(self.sums, self.lo[k], self.hi[k] + self.length)
-            return textnum.mix(whole + (self.at[k] - self.lo[k]).astype(U64) * U64(textnum.BASE) + (self.hi[k] - self.lo[k]).astype(U64))
-
-
-def firsts(key: np.ndarray, order: tuple[np.ndarray, ...]) -> np.ndarray:
+            place = (self.at[k] - self.lo[k]).astype(U64) * U64(textnum.BASE) + (self.hi[k] - self.lo[k]).astype(U64)
+            return tuple(textnum.mix(textnum.spans(sums, self.lo[k], self.hi[k] + self.length, base) + place) for sums, base in ((self.sums, textnum.BASE), (self.other, OTHER)))
+
+
+def pieces(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Texts in pieces of about PIECE bytes, as (number, offset, bytes); a longer text's pieces overlap by length - 1."""
+    part: list[tuple[int, int, bytes]] = []
+    size = 0
+    for i, t in enumerate(texts):
+        for at in range(0, max(1, len(t) - length + 1), PIECE):
+            one = t[at : at + PIECE + length - 1]
+            if part and size + len(one) > PIECE + length:
+                yield part
+                part, size = [], 0
+            part.append((i, at, one))
+            size += len(one)
+    if part:
+        yield part
+
+
+def firsts(key: tuple[np.ndarray, ...], order: tuple[np.ndarray, ...]) -> np.ndarray:
     """Whether each row is the first of its key by the columns of order, the most significant first."""
-    by = np.lexsort((*order[::-1], key))
-    out = np.zeros(len(key), bool)
-    out[by[np.flatnonzero(np.diff(key[by], prepend=~key[by[:1]]) != 0)]] = True
+    by = np.lexsort((*order[::-1], *key))
+    out = np.zeros(len(by), bool)
+    new = np.zeros(len(by), bool)
+    new[:1] = True
+    for k in key:
+        new[1:] |= np.diff(k[by]) != 0
+    out[by[new]] = True
     return out
 
 
@@ -214,8 +251,9 @@ def _announce(length: int, buckets: int):
         if docs.empty:
             return _rows(0, [])
         _, texts = _chunk(docs, _copies(notes))
-        h, n = np.unique(Anchors(texts, length).gram, return_counts=True)
-        h |= (n > 1).astype(U64)
+        found = [np.unique(Anchors(x, length).gram, return_counts=True) for x in pieces(texts, length)]
+        h, back = np.unique(np.concatenate([x[0] for x in found]), return_inverse=True)
+        h |= (np.bincount(back, np.concatenate([x[1] for x in found])) > 1).astype(U64)
         b = (h >> U64(32)) % U64(buckets)
         order = np.argsort(b, kind="stable")
         cut = np.searchsorted(b[order], np.arange(buckets + 1))
@@ -248,62 +286,67 @@ def _send(length: int, buckets: int):
         answers = [np.frombuffer(x, U64) for x in notes.loc[notes["kind"] == 0, "data"]]
         if not answers:
             return _rows(g, [])
-        a = Anchors(texts, length)
         told = np.sort(np.concatenate(answers))
-        place = np.minimum(np.searchsorted(told, a.gram), len(told) - 1)
-        k = np.flatnonzero((told[place] & ~FLAGS) == a.gram)
-        hot = (told[place[k]] & U64(1)).astype(bool)
         oid, tie = docs["oid"].to_numpy(np.int64), docs["tie"].to_numpy(np.int64)
-        # documents stand in order, so a lesser place is an earlier one
-        first = firsts(a.around(k), (a.at[k],))
-        parts = []
-        off = a.bounds[a.doc]
-        gone = [np.stack([a.doc[k[~first]], a.lo[k[~first]] - off[k[~first]], a.hi[k[~first]] + length - off[k[~first]]], axis=1)]
-        k, hot = k[first], hot[first]
-
-        z = k[hot]
-        if len(z):
-            count = a.hi[z] - a.lo[z] + 1
-            start = np.repeat(a.lo[z], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            own = np.repeat(a.doc[z], count)
-            h = textnum.spans(a.sums, start, start + length)
-            one = firsts(h, (start,))
-            local = start - a.bounds[own]
-            gone.append(np.stack([own[~one], local[~one], local[~one] + length], axis=1))
-            h, own, local = h[one], own[one], local[one]
-            b = (h >> U64(32)) % U64(buckets)
-            order = np.argsort(b, kind="stable")
-            cut = np.searchsorted(b[order], np.arange(buckets + 1))
-            for j in range(buckets):
-                w = order[cut[j] : cut[j + 1]]
-                if len(w):
-                    parts.append((j, 2, pickle.dumps((h[w], oid[own[w]], tie[own[w]], own[w].astype(np.int32), local[w].astype(np.int64)))))
-
-        z = k[~hot]
-        if len(z):
-            data = a.buf.tobytes()
-            b = ((a.gram[z] >> U64(32)) % U64(buckets)).astype(np.int64)
-            order = np.argsort(b, kind="stable")
-            cut = np.searchsorted(b[order], np.arange(buckets + 1))
-            around = a.around(z)
-            for j in range(buckets):
-                w = order[cut[j] : cut[j + 1]]
-                if not len(w):
-                    continue
-                y = z[w]
-                suffix = [data[p:e] for p, e in zip(a.at[y].tolist(), (a.hi[y] + length).tolist(), strict=True)]
-                by = sorted(range(len(y)), key=suffix.__getitem__)
-                w, y = w[by], y[by]
-                left = b"".join(data[s:p] for s, p in zip(a.lo[y].tolist(), a.at[y].tolist(), strict=True))
-                local = a.at[y] - off[y]
-                meta = (oid[a.doc[y]], tie[a.doc[y]], a.doc[y].astype(np.int32), local, (a.at[y] - a.lo[y]).astype(np.uint8), (a.at[y] - a.hi[y]).astype(np.int16), around[w])
-                parts.append((j, 1, pickle.dumps((front_code([suffix[i] for i in by]), left, meta))))
+        parts: list[tuple[int, int, bytes]] = []
+        gone: list[np.ndarray] = []
+        for piece in pieces(texts, length):
+            _suffixes(Anchors(piece, length), told, oid, tie, buckets, parts, gone)
         parts += _gone(g, gone)
         return _rows(g, parts)
 
     return run
 
 
+def _suffixes(a: Anchors, told: np.ndarray, oid: np.ndarray, tie: np.ndarray, buckets: int, parts: list, gone: list) -> None:
+    """Add to parts what a piece sends, and to gone the spans that repeat in it."""
+    length = a.length
+    place = np.minimum(np.searchsorted(told, a.gram), len(told) - 1)
+    k = np.flatnonzero((told[place] & ~FLAGS) == a.gram)
+    hot = (told[place[k]] & U64(1)).astype(bool)
+    # documents stand in order, so a lesser place is an earlier one
+    first = firsts(a.around(k), (a.at[k],))
+    shift, number = a.shift[a.doc], a.number[a.doc]
+    gone.append(np.stack([number[k[~first]], a.lo[k[~first]] + shift[k[~first]], a.hi[k[~first]] + length + shift[k[~first]]], axis=1))
+    k, hot = k[first], hot[first]
+
+    z = k[hot]
+    if len(z):
+        count = a.hi[z] - a.lo[z] + 1
+        start = np.repeat(a.lo[z], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        own, local = np.repeat(number[z], count), start + np.repeat(shift[z], count)
+        h, h2 = textnum.spans(a.sums, start, start + length), textnum.spans(a.other, start, start + length, OTHER)
+        one = firsts((h, h2), (start,))
+        gone.append(np.stack([own[~one], local[~one], local[~one] + length], axis=1))
+        h, h2, own, local = h[one], h2[one], own[one], local[one]
+        b = (h >> U64(32)) % U64(buckets)
+        order = np.argsort(b, kind="stable")
+        cut = np.searchsorted(b[order], np.arange(buckets + 1))
+        for j in range(buckets):
+            w = order[cut[j] : cut[j + 1]]
+            if len(w):
+                parts.append((j, 2, pickle.dumps((h[w], h2[w], oid[own[w]], tie[own[w]], own[w].astype(np.int32), local[w].astype(np.int64)))))
+
+    z = k[~hot]
+    if len(z):
+        data = a.buf.tobytes()
+        b = ((a.gram[z] >> U64(32)) % U64(buckets)).astype(np.int64)
+        order = np.argsort(b, kind="stable")
+        cut = np.searchsorted(b[order], np.arange(buckets + 1))
+        around, around2 = a.around(z)
+        for j in range(buckets):
+            w = order[cut[j] : cut[j + 1]]
+            if not len(w):
+                continue
+            y = z[w]
+            suffix = [data[p:e] for p, e in zip(a.at[y].tolist(), (a.hi[y] + length).tolist(), strict=True)]
+            by = sorted(range(len(y)), key=suffix.__getitem__)
+            w, y = w[by], y[by]
+            left = b"".join(data[s:p] for s, p in zip(a.lo[y].tolist(), a.at[y].tolist(), strict=True))
+            meta = (oid[number[y]], tie[number[y]], number[y].astype(np.int32), a.at[y] + shift[y], (a.at[y] - a.lo[y]).astype(np.uint8), (a.at[y] - a.hi[y]).astype(np.int16), around[w], around2[w])
+            parts.append((j, 1, pickle.dumps((front_code([suffix[i] for i in by]), left, meta))))
+
+
 def _gone(g: int, spans: list[np.ndarray]) -> list[tuple[int, int, bytes]]:
     """Removed spans (document's number, start, end) as one row; its bucket is the chunk's, as any would do."""
     every = np.concatenate(spans) if spans else np.zeros((0, 3), np.int64)
@@ -319,9 +362,9 @@ def _merge(length: int):
             out.setdefault(int(g), []).append(np.frombuffer(x, np.int64).reshape(-1, 3))
         hashed = pdf[pdf["kind"] == 2]
         if len(hashed):
-            h, oid, tie, doc, start = (np.concatenate(c) for c in zip(*map(pickle.loads, hashed["data"]), strict=True))
+            h, h2, oid, tie, doc, start = (np.concatenate(c) for c in zip(*map(pickle.loads, hashed["data"]), strict=True))
             g = np.repeat(hashed["g"].to_numpy(), [len(pickle.loads(x)[0]) for x in hashed["data"]])
-            late = ~firsts(h, (oid, tie, start))
+            late = ~firsts((h, h2), (oid, tie, start))
             _spread(out, g[late], np.stack([doc[late], start[late], start[late] + length], axis=1))
         runs = pdf[pdf["kind"] == 1].sort_values("g", kind="stable")
         if len(runs):
@@ -347,13 +390,12 @@ def _compare(runs: pd.DataFrame, length: int, out: dict) -> None:
     tree = LoserTree(suffixes, [x[0][0] for x in loaded])
     seen = np.fromiter((x for r, k, c in tree for x in (base[r] + k, c)), np.int64).reshape(-1, 2)
     order, common = seen[:, 0], seen[:, 1]
-    oid, tie, doc, at, left, right, around = (np.concatenate([x[2][c] for x in loaded])[order] for c in range(7))
+    oid, tie, doc, at, left, right, around, around2 = (np.concatenate([x[2][c] for x in loaded])[order] for c in range(8))
     g = np.repeat(runs["g"].to_numpy(), np.diff(base))[order]
     group = np.cumsum(common < GRAM)
     left = left.astype(np.int64)
     lo, hi = at - left, at - right.astype(np.int64)
-    with np.errstate(over="ignore"):
-        first = firsts(around + group.astype(U64) * U64(textnum.BASE), (oid, tie, at))
+    first = firsts((around, around2, group), (oid, tie, at))
     _spread(out, g[~first], np.stack([doc[~first], lo[~first], hi[~first] + length], axis=1))
     # different surroundings of one gram: string by string
     several = np.flatnonzero(first)
@@ -390,11 +432,43 @@ def _compare(runs: pd.DataFrame, length: int, out: dict) -> None:
         e, o = np.nonzero(own)
         rank = np.empty(len(part), np.int64)
         rank[np.lexsort((at[part], tie[part], oid[part]))] = np.arange(len(part))
-        late = ~firsts(textnum.mix(key[e, o]), (rank[e],))
+        late = _verified(table, room - o, length, e, firsts_of(textnum.mix(key[e, o]), rank[e]), rank[e])
         e, o = e[late], o[late]
         _spread(out, g[part[e]], np.stack([doc[part[e]], at[part[e]] - o, at[part[e]] - o + length], axis=1))
 
 
+def firsts_of(key: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Of each row the row of its key that has the least rank."""
+    by = np.lexsort((rank, key))
+    head = np.maximum.accumulate(np.where(np.append(True, np.diff(key[by]) != 0), np.arange(len(by)), 0))
+    out = np.empty(len(by), np.int64)
+    out[by] = by[head]
+    return out
+
+
+def _verified(table: np.ndarray, start: np.ndarray, length: int, row: np.ndarray, first: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Whether each string table[row, start : start + length] has the bytes of the first that shares its hash, another one.
+
+    Where two strings share a hash and differ, all of that hash are compared by bytes instead.
+    """
+    late = first != np.arange(len(first))
+    view = np.lib.stride_tricks.sliding_window_view(table, length, axis=1)
+    where = np.flatnonzero(late)
+    wrong: set[int] = set()
+    for k in range(0, len(where), 1 << 15):
+        w = where[k : k + (1 << 15)]
+        same = (view[row[w], start[w]] == view[row[first[w]], start[first[w]]]).all(1)
+        wrong.update(first[w[~same]].tolist())
+    for f in wrong:
+        seen: set[bytes] = set()
+        members = np.flatnonzero(first == f)
+        for i in members[np.argsort(rank[members], kind="stable")]:
+            b = view[row[i], start[i]].tobytes()
+            late[i] = b in seen
+            seen.add(b)
+    return late
+
+
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 

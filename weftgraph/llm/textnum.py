@@ -56,18 +56,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(33))
 
 
-def prefix(buf: np.ndarray) -> np.ndarray:
+def prefix(buf: np.ndarray, base: int = BASE) -> np.ndarray:
     """Prefix sums of byte times power; substring hashes are differences of them, see spans()."""
     out = np.zeros(len(buf) + 1, U64)
     with np.errstate(over="ignore"):
-        np.cumsum((buf.astype(U64) + U64(1)) * powers(len(buf)), out=out[1:])
+        np.cumsum((buf.astype(U64) + U64(1)) * powers(len(buf), base), out=out[1:])
     return out
 
 
-def spans(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def spans(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
     """Hashes of buf[start:end], equal for equal bytes wherever they stand."""
     with np.errstate(over="ignore"):
-        return mix((sums[ends] - sums[starts]) * powers(len(sums) + 1, inverse())[starts])
+        return mix((sums[ends] - sums[starts]) * powers(len(sums) + 1, inverse(base))[starts])
 
 
 #: Letters and digits of ASCII and every byte of a longer UTF-8 sequence.
