@@ -65,7 +65,8 @@ def windows(rows: DataFrame, budget: int = 1024, history: int = 256, target: str
     at most `budget` tokens unless one turn and the system turn alone have more. A null role or text is empty, turns
     of equal number are ordered by role and text, repeated rows are turns of their own, a null conv_id is one
     conversation, an empty table gives no rows, other columns are ignored. Of a whole conversation only places and
-    prefix sums come together, 16 bytes a turn; texts come together by window.
+    prefix sums come together, 16 bytes a turn, so one conversation may have some ten million turns; texts come together
+    by window. A turn is written once for each window that has it.
     """
     turns = turns_in_order(rows)
     sums = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("i", "upto"))).alias("all"), F.max(F.when((F.col("i") == 0) & (F.col("role") == "system"), F.col("tokens"))).alias("sys"))
@@ -73,16 +74,22 @@ def windows(rows: DataFrame, budget: int = 1024, history: int = 256, target: str
     spans = sums.withColumn("at", _starts(F.col("all"), room))
     done = F.transform("at", lambda b: F.coalesce(F.get("all", b - 1)["upto"], F.lit(0)))
     spans = spans.select(F.col("conv_id").alias("_conv"), F.col("sys").isNotNull().alias("has_sys"), F.arrays_zip(F.col("at").alias("at"), done.alias("done")).alias("spans"))
-    joined = turns.join(spans, turns.conv_id.eqNullSafe(spans._conv)).drop("_conv")
-    # the windows of a turn: that of its span, later ones that it is history of, and all of them for the system turn
-    holds = F.filter(
-        F.transform("spans", lambda s, k: F.struct(k.alias("window"), s["at"].alias("begin"), F.coalesce(F.get("spans", k + 1)["at"], F.lit(2**31 - 1)).alias("end"), s["done"].alias("done"))),
-        lambda w: (F.col("i") < w["end"]) & ((F.col("i") >= w["begin"]) | (F.col("has_sys") & (F.col("i") == 0)) | (w["done"] - F.col("upto") + F.col("tokens") <= history)),
-    )
-    held = joined.select("conv_id", "i", "role", "text", "tokens", F.explode(holds).alias("w"))
-    old = F.col("i") < F.col("w.begin")
+    # the windows of a turn: its own span's, later ones that it is history of, and all of them for the system turn; its
+    # span is the last to begin by it, and it is history up to the last window whose span begins within reach of it
+    spans = spans.select("_conv", "has_sys", F.size("spans").alias("n"), F.posexplode("spans").alias("window", "s")).select("_conv", "has_sys", "n", "window", F.col("s.at").alias("begin"), F.col("s.done").alias("done"))
+    empty = {c: F.lit(None).cast(t).alias(c) for c, t in turns.dtypes}
+    ends = F.col("upto") - F.col("tokens") + history
+    marks = spans.select(F.col("_conv").alias("conv_id"), *[v for c, v in empty.items() if c not in ("conv_id", "i")], F.col("begin").alias("i"), F.col("done").alias("reach"), "window", "n", "has_sys")
+    both = turns.withColumn("reach", ends).withColumn("window", F.lit(None).cast("int")).withColumn("n", F.lit(None).cast("int")).withColumn("has_sys", F.lit(None).cast("boolean")).unionByName(marks)
+    mark = F.when(F.col("tokens").isNull(), 0).otherwise(1)
+    upto_here = [Window.partitionBy("conv_id").orderBy(c, mark).rowsBetween(Window.unboundedPreceding, 0) for c in ("i", "reach")]
+    both = both.withColumn("own", F.last("window", True).over(upto_here[0])).withColumn("n", F.last("n", True).over(upto_here[0])).withColumn("has_sys", F.last("has_sys", True).over(upto_here[0]))
+    both = both.withColumn("last", F.last("window", True).over(upto_here[1])).where("tokens is not null")
+    reach = F.when(F.col("has_sys") & (F.col("i") == 0), F.col("n") - 1).otherwise(F.greatest("own", "last"))
+    held = both.select("conv_id", "i", "role", "text", "tokens", F.col("own"), F.explode(F.sequence("own", reach)).alias("window"))
+    old = F.col("window") > F.col("own")
     piece = F.struct("i", F.concat(F.lit("<s>"), _role(F.col("role")), F.lit("\n")).alias("head"), escape(F.col("text")).alias("body"), (~old & (F.col("role") == target)).alias("loss"), old.alias("old"), "tokens")
-    packed = held.select("conv_id", "w.window", piece.alias("p")).groupBy("conv_id", "window").agg(F.array_sort(F.collect_list("p")).alias("pieces"))
+    packed = held.select("conv_id", "window", piece.alias("p")).groupBy("conv_id", "window").agg(F.array_sort(F.collect_list("p")).alias("pieces"))
     loss = F.aggregate(
         "pieces",
         F.struct(F.lit(0).cast("long").alias("pos"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("out")),
