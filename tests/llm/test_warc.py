@@ -70,3 +70,13 @@ def test_only_mismatching_branches_are_descended(spark):
         bad = warc._compared(a, b, level, bad)
         sizes.append(bad.count())
     assert sizes == [1] * 5
+
+
+def test_places_lead_to_the_bytes_of_written_files(spark, tmp_path):
+    ours = [*pages(900), (None, "u", "h\r\n", "k"), (30, "same", "id", "k")]
+    df = spark.createDataFrame(ours, SCHEMA)
+    warc.write_files(df, f"{tmp_path}/warc")
+    every = warc.audit(df, spark.createDataFrame([], SCHEMA))
+    got = warc.read_records(spark, f"{tmp_path}/warc", every).selectExpr("page_id", "record_length", "expected_sha256", "sha2(record, 256) as h", "cast(record as string) as r").collect()
+    assert len(got) == 901 and all(x.h == x.expected_sha256 for x in got)
+    assert {x.r for x in got} >= {text(*x[:3]) for x in ours if x[0] != 30}
