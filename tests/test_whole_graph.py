@@ -42,20 +42,20 @@ def test_join_of_all_neighbouring_parts(spark, tables):
     up = {p: set(reach({(b, a) for a, b in arrows}, p)) for p in (P(5, k) for k in range(1, 13))}
     sources = {a for a, _ in arrows} - {b for _, b in arrows}
     want = {(a, a + 1, x) for a in up if a + 1 in up for x in up[a] & up[a + 1] & sources}
-    got = [(r.a, r.b, r.point) for r in catalog.queries()["join_all_parts"](spark, d).collect()]
+    got = [(r.a, r.b, r.point) for r in catalog.queries()["join_parts"](spark, d).collect()]
     assert sorted(got) == sorted(want) and {a for a, _, _ in got} - {P(5, 10)}
 
 
 def test_closures_of_all_regions(spark, tables):
     d, arrows = tables
     want = [(P(1, r), x, n) for r in range(3) for x, n in reach(arrows, P(1, r)).items()]
-    assert sorted((r.region, r.point, r.depth) for r in catalog.queries()["closure_regions"](spark, d).collect()) == sorted(want)
+    assert sorted((r.region, r.point, r.depth) for r in catalog.queries()["closure_region"](spark, d).collect()) == sorted(want)
 
 
 def test_closure_edges_over_suppliers_and_parts(spark, tables):
     d, arrows = tables
     want = {(a, b) for a in {x for x, _ in arrows} for b, n in reach(arrows, a).items() if n and (a, b) not in arrows}
-    got = [(r.src, r.dst) for r in catalog.queries()["closure_edges_all"](spark, d).collect()]
+    got = [(r.src, r.dst) for r in catalog.queries()["closure_edges"](spark, d).collect()]
     assert sorted(got) == sorted(want) and any(b // 10**12 == 5 for _, b in got)
 
 
@@ -63,5 +63,5 @@ def test_whole_submesh_of_a_region(spark, tables):
     d, arrows = tables
     kept = sorted(set().union(*(reach(arrows, b) for a, b in arrows if a == P(1, 1))))
     at = {p: k for k, p in enumerate(kept, 1)}
-    got = [(r.src, r.dst) for r in catalog.queries()["extract_whole_submesh"](spark, d).collect()]
+    got = [(r.src, r.dst) for r in catalog.queries()["extract_submesh"](spark, d).collect()]
     assert sorted(got) == sorted((at[a], at[b]) for a, b in arrows if a in at and b in at) and any(p // 10**12 == 5 for p in kept)

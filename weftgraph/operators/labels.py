@@ -68,11 +68,16 @@ def propagate(labels: DataFrame, arrows: DataFrame, name: str, value: int, upwar
 
 
 def propagate_all(labels: DataFrame, arrows: DataFrame, upward: bool = False) -> DataFrame:
-    """Every value of every name in ascending order, each seeded from what the ones before have left."""
-    got = cut(labels.select("name", "point", "value"))
-    for name, value in sorted(tuple(r) for r in labels.select("name", "value").distinct().collect()):
-        got = cut(propagate(got, arrows, name, value, upward))
-    return got
+    """Every value of every name in ascending order, each seeded from what the ones before have left.
+
+    Two keyed passes, whatever the number of values: a point still has its value when its turn comes if no lesser one
+    reaches it (the least that does is never replaced before), and of what such points reach the greatest value stays.
+    """
+    walk = star if upward else closure
+    own = cut(labels.select("name", "point", "value"))
+    first = walk(arrows, own, keys=["name", "value"]).groupBy("name", "point").agg(F.min("value").alias("least"))
+    seeds = cut(own.join(first, ["name", "point"]).where("value = least").select("name", "value", "point"))
+    return upsert(own, walk(arrows, seeds, keys=["name", "value"]).select("name", "point", "value"))
 
 
 def classify_boundary(arrows: DataFrame, cells: DataFrame, points: DataFrame) -> DataFrame:

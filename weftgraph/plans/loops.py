@@ -13,9 +13,15 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir; a temporary one is set where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault("dir", "") or tempfile.mkdtemp(prefix="weftgraph-")
-    if not spark.conf.get("spark.checkpoint.dir", None):
+    """A fresh folder under spark.checkpoint.dir; a temporary one where that is unset and Spark is local, as in tests.
+
+    On a cluster executors don't see each other's temporary folders, so an unset folder is an error there.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _own.setdefault("dir", "") or tempfile.mkdtemp(prefix="weftgraph-")
         _own["dir"] = base
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
@@ -39,6 +45,8 @@ def reach(links: DataFrame, seeds: DataFrame, keys: list[str] | None = None, max
     """
     keys = keys or []
     on = [*keys, "point"]
+    if max_depth is None or max_depth > 1:  # every step joins them, so they are made once
+        links = cut(links.select("a", "b"))
     layers = [cut(seeds.select(*on).distinct().withColumn("depth", F.lit(0)))]
     seen = layers[0]
     while max_depth is None or len(layers) <= max_depth:
