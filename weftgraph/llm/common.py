@@ -36,9 +36,13 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir, which every executor sees; a temporary one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault("dir", "") or tempfile.mkdtemp(prefix="weftgraph-")
-    if not spark.conf.get("spark.checkpoint.dir", None):
+    """A fresh folder under spark.checkpoint.dir, which every executor sees; a temporary one where that is unset and
+    Spark is local, as in tests. On a cluster an unset folder is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.split("-")[0].split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _own.setdefault("dir", "") or tempfile.mkdtemp(prefix="weftgraph-")
         _own["dir"] = base
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
