@@ -171,14 +171,50 @@ def test_generated_meshes(spark):
     assert f.count() == 11 and fa.count() == 12
 
 
-@pytest.mark.parametrize("tag", ["segment", "triangle", "quadrilateral", "tetrahedron"])
+@pytest.mark.parametrize("tag", ["segment", "triangle", "quadrilateral", "tetrahedron", "hexahedron", "prism", "pyramid"])
 def test_refinement_keeps_measure_and_shares_midpoints(spark, tag):
     m = generate.reference_cell(spark, tag)
     fine, mapping = generate.refine(m)
     size = lambda x: generate.cell_coordinates(x).agg(F.sum(geometry.measure(F.col("tag"), F.col("pts"))), F.min(geometry.measure(F.col("tag"), F.col("pts")))).first()
     assert math.isclose(size(fine)[0], size(m)[0]) and size(fine)[1] > 0
-    assert mapping.count() == {"segment": 2, "triangle": 4, "quadrilateral": 4, "tetrahedron": 8}[tag]
-    assert fine.coords.count() == {"segment": 3, "triangle": 6, "quadrilateral": 9, "tetrahedron": 10}[tag]
+    assert mapping.count() == {"segment": 2, "triangle": 4, "quadrilateral": 4, "tetrahedron": 8, "hexahedron": 8, "prism": 4, "pyramid": 4}[tag]
+    assert fine.coords.count() == {"segment": 3, "triangle": 6, "quadrilateral": 9, "tetrahedron": 10, "hexahedron": 27, "prism": 12, "pyramid": 10}[tag]
+    assert tag == "segment" or generate.cell_coordinates(fine).agg(F.min(geometry.signed_measure(F.col("tag"), F.col("pts")))).first()[0] > 0
+
+
+def test_refinement_of_chosen_cells(spark):
+    m = generate.hex_mesh(spark, 2, 1, 1)
+    first = m.cell_types.where("tag = 'hexahedron'").select("point").orderBy("point").limit(1)
+    once, _ = generate.refine(m, first)
+    assert once.cell_types.where("tag = 'hexahedron'").count() == 9
+    hanging = once.sections["hanging"]
+    assert hanging.select("point").distinct().count() == 5  # four edges and the middle of the shared face
+    assert hanging.groupBy("point").agg(F.sum("weight").alias("w")).where("abs(w - 1) > 1e-12").count() == 0
+    rest = m.cell_types.where("tag = 'hexahedron'").select("point").join(first, "point", "left_anti")
+    twice, _ = generate.refine(once, rest)
+    assert twice.coords.count() == 5 * 3 * 3 and twice.coords.select("xyz").distinct().count() == 45
+    assert twice.sections["hanging"].count() == 0
+    with pytest.raises(ValueError, match="polygon"):
+        generate.refine(generate.Mesh(m.arrows, m.cell_types.withColumn("tag", F.when(F.col("tag") == "hexahedron", "polygon").otherwise(F.col("tag"))), m.coords))
+
+
+def test_full_topology(spark):
+    fine, _ = generate.refine_full(generate.hex_mesh(spark, 1, 1, 1))
+    n = {r["tag"]: r["count"] for r in fine.cell_types.groupBy("tag").count().collect()}
+    assert n == {"vertex": 27, "segment": 54, "quadrilateral": 36, "hexahedron": 8}  # 27 - 54 + 36 - 8 = 1
+    assert fine.arrows.count() == 8 * 6 + 36 * 4 + 54 * 2
+    flat, _ = generate.refine_full(generate.quad_mesh(spark, 1, 1))
+    assert flat.arrows.count() == 4 * 4 + 12 * 2
+
+
+def test_metric_adaptation_refines_long_cells_only(spark):
+    from weftgraph.mesh import MeshDM, Options
+
+    m = generate.quad_mesh(spark, 2, 1, high=(2.0, 1.0))
+    cells = [r.point for r in m.cell_types.where("tag = 'quadrilateral'").orderBy("point").collect()]
+    metric = spark.createDataFrame([(cells[0], [4.0, 0.0, 4.0, 0.0, 0.0, 0.0]), (cells[1], [1.0, 0.0, 1.0, 0.0, 0.0, 0.0])], "cell long, metric array<double>")
+    got = MeshDM(m, Options()).adapt_with_metric(metric, 2)
+    assert got.mesh.cell_types.where("tag = 'quadrilateral'").count() == 5
 
 
 def test_location_quality_and_face_metrics(spark):

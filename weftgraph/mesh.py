@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .operators import adapt, assembly, checks, distribution, generate, geometry, labels, lattice, sections, strata, topology, traverse
 from .operators.generate import Mesh
-from .plans.loops import cut
+from .plans.loops import cut, empty
 
 
 @dataclass
@@ -138,15 +138,19 @@ class MeshDM:
             checks.strict(checks.topology_faults(dm.mesh))
         return dm
 
-    def adapt_with_metric(self, metrics: DataFrame, dim: int, rounds: int = 4) -> MeshDM:
-        """Refine while a cell has an edge longer than metric_high in metrics(cell, metric); children inherit their cell's metric."""
+    def adapt_with_metric(self, metrics: DataFrame, dim: int, rounds: int = 30) -> MeshDM:
+        """Refine the cells that have an edge longer than metric_high in metrics(cell, metric) until none has.
+
+        Children inherit their cell's metric, cells without one stay; cells still too long after `rounds` are an error.
+        """
         dm, metrics = self, cut(metrics)
         for _ in range(rounds):
             cells = generate.cell_coordinates(dm.mesh).join(metrics, "cell")
-            chosen = adapt.select_by_metric(cells, dim, self.options.metric_high, self.options.metric_low)
-            if chosen.where("action = 'refine'").limit(1).count() == 0:
-                break
-            mesh, mapping = generate.refine(dm.mesh)
-            metrics = cut(mapping.join(metrics.withColumnRenamed("cell", "coarse"), "coarse").select(F.col("fine").alias("cell"), "metric"))
+            chosen = cut(adapt.select_by_metric(cells, dim, self.options.metric_high, self.options.metric_low).where("action = 'refine'").select(F.col("cell").alias("point")))
+            if empty(chosen):
+                return dm
+            mesh, mapping = generate.refine(dm.mesh, chosen)
+            kept = metrics.join(chosen.withColumnRenamed("point", "cell"), "cell", "left_anti").select("cell", "metric")
+            metrics = cut(kept.unionByName(mapping.join(metrics.withColumnRenamed("cell", "coarse"), "coarse").select(F.col("fine").alias("cell"), "metric")))
             dm = MeshDM(mesh, self.options)
-        return dm
+        raise RuntimeError(f"cells are still too long after {rounds} rounds")

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.cells import EDGES, FACES
+from ..functions.cells import EDGES, FACES, VERTICES
 from .topology import dense_index
 
 
@@ -130,48 +130,130 @@ def interpolate(mesh: Mesh, what: str = "edges") -> tuple[DataFrame, DataFrame]:
     return entities.select("point", "nodes"), arrows
 
 
-#: Children of a refined cell; a corner is its vertex, an edge midpoint or the cell's centre.
+def _between(tag: str, a: int, b: int) -> tuple[str, int]:
+    """The template's name for the midpoint of two corners of a quadrilateral or hexahedron."""
+    if a == b:
+        return "v", a
+    for k, e in enumerate(EDGES[tag]):
+        if {a, b} == set(e):
+            return "e", k
+    for k, f in enumerate(FACES[tag]):
+        if tag == "hexahedron" and {a, b} <= set(f):
+            return "f", k
+    return "m", 0
+
+
+#: Children of a cell that has one at each corner: slot j of child k is the midpoint of corners k and j.
+_CORNERED = {tag: [[_between(tag, k, j) for j in range(VERTICES[tag])] for k in range(VERTICES[tag])] for tag in ("quadrilateral", "hexahedron")}
+#: Children of a triangle; a node is a vertex v or an edge's midpoint e.
+_TRIANGLE = [[("v", 0), ("e", 0), ("e", 2)], [("v", 1), ("e", 1), ("e", 0)], [("v", 2), ("e", 2), ("e", 1)], [("e", 0), ("e", 1), ("e", 2)]]
+#: Children of a tetrahedron; the inner four share the diagonal of edges 0 and 5, in the order of positive volume.
+_TETRAHEDRON = [
+    [("v", 0), ("e", 0), ("e", 2), ("e", 3)], [("v", 1), ("e", 1), ("e", 0), ("e", 4)], [("v", 2), ("e", 2), ("e", 1), ("e", 5)], [("v", 3), ("e", 3), ("e", 5), ("e", 4)],
+    [("e", 0), ("e", 1), ("e", 5), ("e", 4)], [("e", 0), ("e", 4), ("e", 5), ("e", 3)], [("e", 0), ("e", 3), ("e", 5), ("e", 2)], [("e", 0), ("e", 2), ("e", 5), ("e", 1)],
+]
+#: Children by type: a node is a vertex v, an edge's midpoint e, a face's centre f or the cell's own m. A prism is split
+#: as its triangles are, a pyramid as its base is, with the apex kept.
 SUBDIVISION = {
-    "segment": [("segment", [("v", 0), ("e", 0)]), ("segment", [("e", 0), ("v", 1)])],
-    "triangle": [("triangle", [("v", 0), ("e", 0), ("e", 2)]), ("triangle", [("e", 0), ("v", 1), ("e", 1)]), ("triangle", [("e", 2), ("e", 1), ("v", 2)]), ("triangle", [("e", 0), ("e", 1), ("e", 2)])],
-    "quadrilateral": [("quadrilateral", [("v", 0), ("e", 0), ("c", 0), ("e", 3)]), ("quadrilateral", [("e", 0), ("v", 1), ("e", 1), ("c", 0)]), ("quadrilateral", [("c", 0), ("e", 1), ("v", 2), ("e", 2)]), ("quadrilateral", [("e", 3), ("c", 0), ("e", 2), ("v", 3)])],
-    "tetrahedron": [
-        ("tetrahedron", [("v", 0), ("e", 0), ("e", 2), ("e", 3)]), ("tetrahedron", [("e", 0), ("v", 1), ("e", 1), ("e", 4)]), ("tetrahedron", [("e", 2), ("e", 1), ("v", 2), ("e", 5)]), ("tetrahedron", [("e", 3), ("e", 4), ("e", 5), ("v", 3)]),
-        ("tetrahedron", [("e", 0), ("e", 1), ("e", 2), ("e", 4)]), ("tetrahedron", [("e", 0), ("e", 2), ("e", 3), ("e", 4)]), ("tetrahedron", [("e", 2), ("e", 5), ("e", 3), ("e", 4)]), ("tetrahedron", [("e", 1), ("e", 5), ("e", 2), ("e", 4)]),
-    ],
-}
+    "segment": [[("v", 0), ("e", 0)], [("e", 0), ("v", 1)]],
+    "triangle": _TRIANGLE,
+    "quadrilateral": _CORNERED["quadrilateral"],
+    "tetrahedron": _TETRAHEDRON,
+    "hexahedron": _CORNERED["hexahedron"],
+    "prism": [[*t, *((kind, k + 3) for kind, k in t)] for t in _TRIANGLE],
+    "pyramid": [[*(("f", 0) if kind == "m" else (kind, k) for kind, k in q), ("v", 4)] for q in _CORNERED["quadrilateral"]],
+}
 
 
-def refine(mesh: Mesh) -> tuple[Mesh, DataFrame]:
-    """Template subdivision of every segment, triangle, quadrilateral and tetrahedron, with shared midpoints made once.
+def refine(mesh: Mesh, only: DataFrame | None = None) -> tuple[Mesh, DataFrame]:
+    """Template subdivision of every cell, or of those in only(point), with shared midpoints made once.
 
     Returns the mesh and map(coarse, fine). Vertices keep their ids; midpoints, centres and children follow the greatest.
+    Where cells are left whole, sections["hanging"] has terms(point, idx, src_point, src_idx, weight) of the midpoints
+    that lie on their edges and faces; a later refinement of those cells takes the same points. A type without a
+    template is an error.
     """
     from ..plans.loops import cut
 
     spark = mesh.arrows.sparkSession
     top = mesh.cell_types.agg(F.max("point")).first()[0] or 0
-    cells = cut(cell_vertices(mesh).where(F.col("tag").isin(list(SUBDIVISION))))
-    edges = _parts(cells, {t: EDGES[t] for t in SUBDIVISION}).withColumn("key", F.array_sort("nodes"))
-    mids = edges.select(F.lit("e").alias("kind"), "key").unionByName(cells.where("tag = 'quadrilateral'").select(F.lit("f").alias("kind"), F.array("cell").alias("key"))).distinct()
-    mids = cut(dense_index(mids, ["kind", "key"], "i").select("kind", "key", (F.col("i") + top + 1).alias("id")))
-    base = top + mids.count()
-    rows = [(tag, child, slot, kind, k, kid) for tag, kids in SUBDIVISION.items() for child, (kid, corners) in enumerate(kids) for slot, (kind, k) in enumerate(corners)]
-    template = F.broadcast(spark.createDataFrame(rows, "tag string, child int, slot int, kind string, k int, kid string"))
-    edge_id = edges.join(mids.where("kind = 'e'"), "key").select("cell", F.col("slot").alias("k"), F.col("id").alias("node"), F.lit("e").alias("kind"))
-    centre = mids.where("kind = 'f'").select(F.get("key", F.lit(0)).alias("cell"), F.lit(0).alias("k"), F.col("id").alias("node"), F.lit("c").alias("kind"))
-    corner = cells.select("cell", F.posexplode("vertices").alias("k", "node"), F.lit("v").alias("kind"))
-    nodes = corner.unionByName(edge_id).unionByName(centre)
+    every = cell_vertices(mesh)
+    whole = None
+    if only is not None:
+        chosen = only.select(F.col("point").alias("cell")).distinct()
+        whole = cut(every.join(chosen, "cell", "left_anti"))
+        every = every.join(chosen, "cell", "left_semi")
+    cells = cut(every)
+    other = [r["tag"] for r in cells.where(~F.col("tag").isin(list(SUBDIVISION))).select("tag").distinct().collect()]
+    if other:
+        raise ValueError(f"no refinement of {sorted(other)}")
+    known = mesh.sections.get("hanging")
+
+    def parts(of: DataFrame) -> DataFrame:
+        """(cell, k, kind, key): the edges, and the faces of solids, by their sorted nodes."""
+        solid = {tag: FACES[tag] for tag in ("tetrahedron", "hexahedron", "prism", "pyramid")}
+        both = [_parts(of, table).select("cell", F.col("slot").alias("k"), F.lit(kind).alias("kind"), F.array_sort("nodes").alias("key")) for kind, table in (("e", EDGES), ("f", solid))]
+        return both[0].unionByName(both[1])
+
+    rows = [(tag, child, slot, kind, k) for tag, kids in SUBDIVISION.items() for child, nodes in enumerate(kids) for slot, (kind, k) in enumerate(nodes)]
+    template = F.broadcast(spark.createDataFrame(rows, "tag string, child int, slot int, kind string, k int"))
+    used = template.select("tag", "kind", "k").distinct()
+    met = parts(cells.join(F.broadcast(spark.createDataFrame([(t,) for t in SUBDIVISION], "tag string")), "tag", "left_semi"))
+    met = met.join(cells.select("cell", "tag"), "cell").join(F.broadcast(used), ["tag", "kind", "k"], "left_semi").select("cell", "k", "kind", "key")
+    inner = cells.join(F.broadcast(used.where("kind = 'm'").select("tag")), "tag", "left_semi").select("cell", F.lit(0).alias("k"), F.lit("m").alias("kind"), F.array("cell").alias("key"))
+    met = cut(met.unionByName(inner))
+    need = met.select("kind", "key").distinct()
+    if known is not None:
+        old = cut(known.groupBy("point").agg(F.array_sort(F.collect_list("src_point")).alias("key")).select(F.when(F.size("key") == 2, "e").otherwise("f").alias("kind"), "key", F.col("point").alias("id")))
+        need = need.join(old.select("kind", "key"), ["kind", "key"], "left_anti")
+    made = cut(dense_index(need, ["kind", "key"], "i").select("kind", "key", (F.col("i") + top + 1).alias("id")))
+    base = top + made.count()
+    mids = made if known is None else made.unionByName(old)
+    corner = cells.select("cell", F.posexplode("vertices").alias("k", "node")).select("cell", "k", F.lit("v").alias("kind"), "node")
+    nodes = corner.unionByName(met.join(mids, ["kind", "key"]).select("cell", "k", "kind", F.col("id").alias("node")))
     wide = cells.select("cell", "tag").join(template, "tag").join(nodes, ["cell", "kind", "k"])
-    number = cut(dense_index(wide.select("cell", "child", "kid").distinct(), ["cell", "child"], "i").select("cell", "child", "kid", (F.col("i") + base + 1).alias("fine")))
-    arrows = wide.join(number, ["cell", "child", "kid"]).select(F.col("fine").alias("src"), F.col("node").alias("dst"), "slot", F.lit(0).alias("orient"))
+    number = cut(dense_index(cells.select("cell", "tag").join(F.broadcast(template.select("tag", "child").distinct()), "tag"), ["cell", "child"], "i").select("cell", "child", "tag", (F.col("i") + base + 1).alias("fine")))
+    arrows = wide.drop("tag").join(number, ["cell", "child"]).select(F.col("fine").alias("src"), F.col("node").alias("dst"), "slot", F.lit(0).alias("orient"))
+    ends = made.where("kind <> 'm'").select("id", F.explode("key").alias("n")).unionByName(made.where("kind = 'm'").select("id", F.get("key", F.lit(0)).alias("cell")).join(cells, "cell").select("id", F.explode("vertices").alias("n")))
     xyz = mesh.coords.select(F.col("point").alias("n"), "xyz")
-    ends = mids.where("kind = 'e'").select("id", F.explode("key").alias("n")).unionByName(mids.where("kind = 'f'").select("id", F.get("key", F.lit(0)).alias("cell")).join(cells, "cell").select("id", F.explode("vertices").alias("n")))
     means = ends.join(xyz, "n").select("id", F.posexplode("xyz").alias("axis", "v")).groupBy("id", "axis").agg(F.avg("v").alias("v")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("axis", "v"))).alias("x"))
     coords = mesh.coords.select("point", "xyz").unionByName(means.select(F.col("id").alias("point"), F.col("x.v").alias("xyz")))
     none = F.lit(None).cast("int").alias("param")
-    types = mesh.cell_types.where("tag = 'vertex'").select("point", "tag", "param").unionByName(mids.select(F.col("id").alias("point"), F.lit("vertex").alias("tag"), none)).unionByName(number.select(F.col("fine").alias("point"), F.col("kid").alias("tag"), none))
-    return Mesh(arrows, types, coords, mesh.labels), number.select(F.col("cell").alias("coarse"), "fine")
+    types = mesh.cell_types.where("tag = 'vertex'").select("point", "tag", "param").unionByName(made.select(F.col("id").alias("point"), F.lit("vertex").alias("tag"), none)).unionByName(number.select(F.col("fine").alias("point"), "tag", none))
+    sections = {}
+    if whole is not None:
+        kept = whole.select(F.col("cell").alias("point"))
+        arrows = mesh.arrows.join(kept.withColumnRenamed("point", "src"), "src", "left_semi").select("src", "dst", "slot", "orient").unionByName(arrows)
+        types = mesh.cell_types.where("tag <> 'vertex'").join(kept, "point", "left_semi").select("point", "tag", "param").unionByName(types)
+        at = parts(whole).select("kind", "key").distinct().join(mids, ["kind", "key"]).where("kind <> 'm'")
+        sections["hanging"] = cut(at.select(F.col("id").alias("point"), F.lit(0).alias("idx"), F.explode("key").alias("src_point"), F.lit(0).alias("src_idx"), (1 / F.size("key")).alias("weight")))
+    return Mesh(arrows, types, coords, mesh.labels, sections=sections), number.select(F.col("cell").alias("coarse"), "fine")
+
+
+def full_topology(mesh: Mesh) -> Mesh:
+    """Cells over faces over edges over vertices, from cell-vertex arrows; new faces and edges get types.
+
+    In the plane cells stand on edges. The arrows' orientations compare an entity's node order with its first cell's.
+    """
+    flat = "tag in ('triangle', 'quadrilateral')"
+    edges, cell_edges = interpolate(mesh, "edges")
+    none, whole = F.lit(None).cast("int").alias("param"), mesh.cell_types.select(F.col("point").alias("src"), "tag")
+    ends = edges.select(F.col("point").alias("src"), F.posexplode("nodes").alias("slot", "dst")).select("src", "dst", "slot", F.lit(0).alias("orient"))
+    out = ends.unionByName(cell_edges.join(whole.where(flat), "src", "left_semi"))
+    types = mesh.cell_types.select("point", "tag", "param").unionByName(edges.select("point", F.lit("segment").alias("tag"), none))
+    solid = Mesh(mesh.arrows.join(whole.where(f"not {flat}"), "src", "left_semi"), types, mesh.coords)
+    faces, cell_faces = interpolate(solid, "faces")
+    kind = F.when(F.size("nodes") == 3, "triangle").otherwise("quadrilateral")
+    ring = _parts(faces.select(F.col("point").alias("cell"), kind.alias("tag"), F.col("nodes").alias("vertices")), EDGES).withColumn("key", F.array_sort("nodes"))
+    sides = ring.join(edges.select(F.col("point").alias("dst"), F.array_sort("nodes").alias("key"), F.col("nodes").alias("own")), "key")
+    out = out.unionByName(cell_faces).unionByName(sides.select(F.col("cell").alias("src"), "dst", "slot", F.when(F.col("nodes") == F.col("own"), 0).otherwise(-1).alias("orient")))
+    return Mesh(out, types.unionByName(faces.select("point", kind.alias("tag"), none)), mesh.coords, mesh.labels, mesh.periodic, mesh.sections)
+
+
+def refine_full(mesh: Mesh, only: DataFrame | None = None) -> tuple[Mesh, DataFrame]:
+    """As refine, with faces and edges of the refined cells."""
+    fine, mapping = refine(mesh, only)
+    return full_topology(fine), mapping
 
 
 #: What a cell becomes between two layers.
@@ -183,6 +265,9 @@ def extrude(mesh: Mesh, levels: list[float]) -> Mesh:
     spark = mesh.arrows.sparkSession
     stride = mesh.cell_types.agg(F.max("point")).first()[0] or 0
     n = len(levels)
+    other = [r["tag"] for r in mesh.cell_types.where(~F.col("tag").isin("vertex", *EXTRUDED)).select("tag").distinct().collect()]
+    if other:
+        raise ValueError(f"no extrusion of {sorted(other)}")
     level = F.broadcast(spark.createDataFrame(list(enumerate(levels)), "layer int, z double"))
     coords = mesh.coords.join(level).select((F.col("point") + F.col("layer") * stride).alias("point"), F.concat("xyz", F.array("z")).alias("xyz"))
     cells = cell_vertices(mesh).where(F.col("tag").isin(list(EXTRUDED))).join(F.broadcast(spark.range(n - 1).withColumnRenamed("id", "layer")))
