@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.functions import orientation as O
-from weftgraph.operators import adapt, assembly, checks, constraints, distribution, fem, fvm, generate, geometry, labels, lattice, partition, sections, strata, topology, traverse
+from weftgraph.operators import adapt, assembly, checks, constraints, distribution, fem, fvm, generate, geometry, labels, lattice, maps, partition, sections, strata, topology, traverse
 
 FIGURE = {0: [2, 3, 4], 1: [4, 5, 6], 2: [8, 9], 3: [9, 11], 4: [8, 10], 5: [10, 7], 6: [7, 8]}
 
@@ -311,3 +311,72 @@ def test_nearest(spark):
     tgt = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(b)], "target long, x array<double>")
     want = {i: int(np.argmin(((a - p) ** 2).sum(1))) for i, p in enumerate(b)}
     assert {r.target: r.source for r in geometry.nearest(src, tgt, 0.05).collect()} == want
+
+
+@pytest.mark.parametrize("tag", ["segment", "triangle", "quadrilateral", "tetrahedron", "hexahedron", "prism", "pyramid"])
+def test_reference_maps(spark, tag):
+    cell = generate.cell_coordinates(generate.reference_cell(spark, tag))
+    turned = F.transform("pts", lambda p: F.concat(F.transform(p, lambda x: 2 * x + 1), F.array_repeat(F.lit(3.0), 3 - F.size(p))))
+    dim = len(cell.first().pts[0])
+    rows = cell.withColumn("pts", turned).withColumn("at", F.array(*[F.lit(0.2)] * dim))
+    got = maps.physical_to_reference(maps.reference_to_physical(rows), out="back").first()
+    # a pyramid's base shrinks towards its apex, the other reference maps are the identity
+    at = [1.52, 1.52, 1.4] if tag == "pyramid" else [1.4] * dim + [3.0] * (3 - dim)
+    pushed = [3.4, 5.0, 6.0] if tag == "pyramid" else [2.0 * (k + 1) for k in range(dim)] + [0.0] * (3 - dim)
+    assert got.x == pytest.approx(at) and got.back == pytest.approx([0.2] * dim)
+    v = maps.pull_back(maps.push_forward(rows, F.array(*[F.lit(float(k + 1)) for k in range(dim)])), "pushed").first()
+    assert v.pushed == pytest.approx(pushed) and v.pulled == pytest.approx([k + 1.0 for k in range(dim)])
+    flat = rows.withColumn("pts", F.transform("pts", lambda p: F.array(F.lit(1.0), F.lit(1.0), F.lit(1.0))))
+    assert maps.pull_back(flat, F.array(*[F.lit(1.0)] * 3)).first().pulled is None
+    assert maps.reference_to_physical(rows.withColumn("at", F.lit(None).cast("array<double>"))).first().x is None
+    assert maps.reference_to_physical(rows.limit(0)).count() == 0
+
+
+def test_interpolation_in_any_cell(spark):
+    m = generate.hex_mesh(spark, 2, 2, 2)
+    cells = generate.cell_vertices(m).join(generate.cell_coordinates(m).drop("tag"), "cell")
+    f = F.get("xyz", F.lit(0)) + 2 * F.get("xyz", F.lit(1)) * F.get("xyz", F.lit(2))
+    at = spark.createDataFrame([(1, [0.3, 0.2, 0.9]), (2, [0.75, 0.6, 0.1])], "query int, x array<double>")
+    located = geometry.locate(cells.select("cell", "tag", "pts"), at, 0.5).join(at, "query")
+    got = maps.interpolate_at(located, cells, m.coords.select("point", f.alias("value")))
+    assert {r["query"]: round(r["value"], 9) for r in got.collect()} == {1: 0.66, 2: 0.87}
+
+
+def test_adapt_topology(spark):
+    m = generate.quad_mesh(spark, 2, 1)
+    cells = [r.point for r in m.cell_types.where("tag = 'quadrilateral'").orderBy("point").collect()]
+    values = lambda *v: spark.createDataFrame(list(zip(cells, v, strict=True)), "cell long, value double")
+    action, fine, mapping = adapt.adapt_topology(m, values(0.9, 0.0), 0.5, 0.1)
+    assert action == "refined" and mapping.count() == 4 and fine.cell_types.where("tag = 'quadrilateral'").count() == 5
+
+    def plan(down, dst=1):
+        return down.select(F.lit(99).cast("long").alias("coarse"), F.col("point").alias("fine")), spark.createDataFrame([(99, dst), (99, 2)], "coarse long, dst long")
+
+    action, coarse, mapping = adapt.adapt_topology(m, values(0.0, 0.0), 0.5, 0.1, plan)
+    assert action == "coarsened" and mapping.count() == 2 and coarse.arrows.count() == 2
+    assert adapt.adapt_topology(m, values(0.3, 0.3), 0.5, 0.1, plan)[0] == "unchanged"
+    with pytest.raises(checks.MeshError, match="cone"):
+        adapt.adapt_topology(m, values(0.0, 0.0), 0.5, 0.1, lambda down: plan(down, 12345))
+
+
+def test_label_transfer_faults(spark):
+    mark = lambda *r: spark.createDataFrame([("id", p, v) for p, v in r], "name string, point long, value int")
+    values = spark.createDataFrame([(1, 5.0)], "point long, x double")
+    source, target = mark((1, 10), (2, 20), (3, 20)), mark((7, 10), (8, 20), (9, 30))
+    assert [tuple(r) for r in adapt.transfer_labels(values, source, target, "id").collect()] == [(7, 5.0)]
+    assert sorted(map(tuple, adapt.transfer_label_faults(values, source, target, "id").distinct().collect())) == [(20, "duplicate"), (20, "no_data"), (30, "missing")]
+
+
+def test_loads_of_merged_clusters(spark):
+    rng = np.random.default_rng(3)
+    e = [(int(a), int(b)) for a, b in rng.integers(1, 400, (3000, 2)) if a != b]
+    edges = spark.createDataFrame([(min(x), max(x)) for x in e], "u long, v long")
+    own = spark.createDataFrame([(k, k) for k in range(1, 411)], "vertex long, cluster long")  # the last ten have no edges
+    got = partition.merge_clusters(own, edges, 8, 0.05)
+    assert got.count() == 410
+    load = partition.load_balance(edges, got.select("vertex", "part")).first()
+    assert load.max_load <= 2 * edges.count() / 8 * 1.05 + 1
+    hub = spark.createDataFrame([(1, k) for k in range(2, 102)], "u long, v long")
+    assert partition.merge_clusters(own.limit(101), hub, 4).where("vertex = 1").count() == 1
+    clusters = partition.louvain(edges, own.select("vertex"), 60)
+    assert clusters.count() == 410 and clusters.select("cluster").distinct().count() >= 60

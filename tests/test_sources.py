@@ -87,4 +87,14 @@ def test_facade(spark):
     assert perm.count() == 2
     assert dm.label_boundary().where("name = 'boundary' and value = 2").count() == 2
     m = up.cells.sparkSession.createDataFrame([(7, [100.0, 0.0, 100.0, 0.0, 0.0, 0.0]), (8, [1.0, 0.0, 1.0, 0.0, 0.0, 0.0])], "cell long, metric array<double>")
-    assert dm.adapt_with_metric(m, 2, 2).cells.count() == 32
+    assert dm.adapt_with_metric(m, 2).mesh.cell_types.where("tag = 'quadrilateral'").count() == 4**4 + 1
+    with pytest.raises(RuntimeError, match="still too long"):
+        dm.adapt_with_metric(m, 2, 2)
+
+
+def test_xdmf_is_read_back(spark, tmp_path):
+    m = generate.hex_mesh(spark, 2, 1, 1)
+    formats.write_mesh(m, str(tmp_path / "x"), "xdmf")
+    back = formats.read_mesh(spark, str(tmp_path / "x" / "part-*"), "xdmf")
+    pts = lambda x: sorted(tuple(map(tuple, r.pts)) for r in generate.cell_coordinates(x).collect())
+    assert pts(back) == pts(m)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .catalog import ARROWS, CUSTOMER, DEPTHS, HEIGHTS, LOCAL, NATION, OP, ORDER, PART, REGION, bipartite, id_, incidence, line_counts, order_parts, order_ranks, part_labels, query, t, vectors
-from .operators import assembly, constraints, distribution, labels, lattice, partition, sections, strata, topology, traverse
+from .catalog import ship
+from .operators import adapt, assembly, constraints, distribution, fvm, generate, geometry, labels, lattice, maps, partition, sections, strata, topology, traverse
 from .operators.topology import point
 
 # --- edits and roles
@@ -345,3 +346,146 @@ def reconcile_decisions(s, d):
 @query(f"with {OP} select least(a.src, b.src) as u, greatest(a.src, b.src) as v, count(*) as weight from op a join op b on a.dst = b.dst and a.src < b.src group by 1, 2")
 def shared_part_edges(s, d):
     return lattice.adjacency_edges(order_parts(s, d), "dst", "src")
+
+
+@query(f"with {PAIRS} select rank, point, neighbor from pairs where not (rank = 0 and neighbor = 1)")
+def overlap_remove_links(s, d):
+    links = distribution.overlap_links(held(s, d))
+    return distribution.remove_links(links, links.where("rank = 0 and neighbor = 1"))
+
+
+@query(f"with {PAIRS} select rank, point, neighbor from pairs where neighbor in (1, 3)")
+def overlap_retain(s, d):
+    return distribution.retain_neighbors(distribution.overlap_links(held(s, d)), [1, 3])
+
+
+RANKED = f"v as (select distinct (l_orderkey % 4)::int as rank, {id_(5, 'l_partkey')} as base, {id_(4, 'l_suppkey')} as cap from lineitem)"
+
+
+@query(f"with {RANKED} select distinct h.rank, v.base, v.cap from v join (select distinct rank, base from v) h on h.base = v.base")
+def complete_stack(s, d):
+    """Suppliers over the parts that a rank's lines have, those of other ranks' lines imported."""
+    v = t(s, d, "lineitem").select((F.col("l_orderkey") % 4).cast("int").alias("rank"), point(PART, F.col("l_partkey")).alias("base"), point(4, F.col("l_suppkey")).alias("cap")).distinct()
+    links = distribution.overlap_links(v.select("rank", F.col("base").alias("point")))
+    return distribution.complete_stack(v, links)
+
+
+@query(f"with v as (select distinct (l_orderkey % 4)::int as rank, {id_(5, 'l_partkey')} as point from lineitem), w as (select {id_(5, 'l_partkey')} as point, sum(l_quantity)::double as value from lineitem group by 1) select rank, point, 0::int as idx, value from v join w using (point)")
+def complete_sum(s, d):
+    """Each rank's sums of its own lines, completed to the sums over all ranks."""
+    own = t(s, d, "lineitem").groupBy((F.col("l_orderkey") % 4).cast("int").alias("rank"), point(PART, F.col("l_partkey")).alias("point")).agg(F.sum("l_quantity").cast("double").alias("value"))
+    return distribution.complete_reduced(own.select("rank", "point", F.lit(0).alias("idx"), "value"))
+
+
+@query(f"with {OP} select (o_custkey % 3)::int as rank, src, dst from op join orders on {id_(6, 'o_orderkey')} = src where o_orderpriority = '1-URGENT'")
+def fetch_cones(s, d):
+    ask = t(s, d, "orders").where("o_orderpriority = '1-URGENT'").select((F.col("o_custkey") % 3).cast("int").alias("rank"), point(ORDER, F.col("o_orderkey")).alias("point"))
+    return distribution.fetch(order_parts(s, d), ask)
+
+
+CO = f"co as (select {id_(3, 'o_custkey')} as c, {id_(6, 'o_orderkey')} as o, (o_custkey % 3)::int as rank from orders)"
+
+
+@query(f"with {OP}, {CO} select rank, c as point, 0::int as depth from co union select rank, o, 1 from co union select rank, dst, 2 from co join op on op.src = co.o")
+def closure_completed(s, d):
+    """Closures of customers whose ranks hold only the arrows to orders."""
+    near = t(s, d, "orders").select((F.col("o_custkey") % 3).cast("int").alias("rank"), point(CUSTOMER, F.col("o_custkey")).alias("src"), point(ORDER, F.col("o_orderkey")).alias("dst"))
+    local = near.unionByName(order_parts(s, d).withColumn("rank", F.lit(3)).select("rank", "src", "dst"))
+    return distribution.closure_completed(local, near.select("rank", F.col("src").alias("point")))
+
+
+# --- adaptation and transfers
+
+
+@query(f"with {OP}, {CO} select distinct c as src, dst from co join op on op.src = co.o")
+def coarsen_cells(s, d):
+    """A customer's orders merged into one cell over their parts."""
+    o = t(s, d, "orders").select(point(CUSTOMER, F.col("o_custkey")).alias("coarse"), point(ORDER, F.col("o_orderkey")).alias("src"))
+    return adapt.coarsen(order_parts(s, d).join(o, "src").select("coarse", "dst"))
+
+
+@query(f"with {OP}, {CO}, p as (select src from op union select dst from op) select c as coarse, o as point, 'fine' as fault from co where o not in (select src from p) union all select distinct c, o + 7 * 1000000000000, 'cone' from co")
+def coarsen_violations(s, d):
+    """Orders without lines aren't points of the fine topology, nor are the cones' points here."""
+    o = t(s, d, "orders").select(point(CUSTOMER, F.col("o_custkey")).alias("coarse"), point(ORDER, F.col("o_orderkey")).alias("fine"))
+    return adapt.coarsen_faults(order_parts(s, d), o, o.select("coarse", (F.col("fine") + 7 * 10**12).alias("dst")))
+
+
+@query("select l_orderkey * 100 + l_linenumber as point, p_size::int as value from lineitem join part on p_partkey = l_partkey")
+def transfer_shared_labels(s, d):
+    """Parts' sizes copied to the lines that have the part's key as their label."""
+    source = part_labels(s, d, "key", F.col("p_partkey"))
+    target = t(s, d, "lineitem").select(F.lit("key").alias("name"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("point"), F.col("l_partkey").alias("value"))
+    return adapt.transfer_labels(part_labels(s, d, "size", F.col("p_size")).select("point", "value"), source, target, "key")
+
+
+@query("with x as (select l_quantity * 2 as a, l_discount * 50 as k, l_tax as h from lineitem) select case when a > 75 or k > 4 or h < 0.00000001 then 'refine' when a <= 35 and k <= 1.5 and h >= 0.0001 then 'coarsen' else 'keep' end as action, count(*) as cells from x group by 1")
+def fvm_select(s, d):
+    x = t(s, d, "lineitem").select((F.col("l_quantity") * 2).alias("non_orthogonality"), (F.col("l_discount") * 50).alias("skewness"), F.col("l_tax").alias("length"))
+    return adapt.select_by_fvm(x).groupBy("action").agg(F.count("*").alias("cells"))
+
+
+@query("select 'hexahedron' as tag, 192::bigint as cells, 1.0::double as measure union all select 'prism', 192, 1.0 union all select 'tetrahedron', 8, 0.166666667")
+def refine_solids(s, d):
+    """A box of hexahedra, the same box as prisms, and the reference tetrahedron, each refined once."""
+    ship(s)
+    boxes = generate.hex_mesh(s, 4, 3, 2)
+    prisms = generate.extrude(generate.triangulated(generate.quad_mesh(s, 4, 3)), [0.0, 0.5, 1.0])
+    out = None
+    for mesh in (boxes, prisms, generate.reference_cell(s, "tetrahedron")):
+        fine, _ = generate.refine(mesh)
+        one = generate.cell_coordinates(fine).groupBy("tag").agg(F.count("*").alias("cells"), F.round(F.sum(geometry.measure(F.col("tag"), F.col("pts"))), 9).alias("measure"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# --- reference maps and finite volumes
+
+
+def part_quads(s, d) -> DataFrame:
+    """A quadrilateral for each part, wider with its size and slanted."""
+    z = F.col("p_size").cast("double")
+    corner = lambda x, y: F.array(x.cast("double"), y.cast("double"))
+    pts = F.array(corner(F.lit(0), F.lit(0)), corner(z, F.lit(0)), corner(z + 2, F.lit(4)), corner(F.lit(0), F.lit(4)))
+    return t(s, d, "part").select("p_partkey", F.lit("quadrilateral").alias("tag"), pts.alias("pts"), F.array(F.lit(0.25), F.lit(0.5)).alias("at"))
+
+
+@query("select p_partkey, round(0.25 * p_size + 0.25, 9)::double as x, 2::double as y, round(p_size + 1, 9)::double as xr, 0.5::double as xs, 0::double as yr, 4::double as ys from part")
+def reference_to_physical(s, d):
+    """Places and Jacobians at (1/4, 1/2)."""
+    got = maps.jacobian(maps.reference_to_physical(part_quads(s, d)))
+    at = lambda c, k: F.round(F.get(c, F.lit(k)), 9) + 0.0
+    return got.select("p_partkey", at("x", 0).alias("x"), at("x", 1).alias("y"), *[at("jacobian", k).alias(n) for k, n in enumerate(("xr", "xs", "yr", "ys"))])
+
+
+@query("select p_partkey, 0.25::double as r, 0.5::double as s from part")
+def physical_to_reference(s, d):
+    got = maps.physical_to_reference(maps.reference_to_physical(part_quads(s, d)), out="back")
+    return got.select("p_partkey", F.round(F.get("back", F.lit(0)), 9).alias("r"), F.round(F.get("back", F.lit(1)), 9).alias("s"))
+
+
+def bounded_faces(s, d) -> DataFrame:
+    """Lines as faces; first lines are on the boundary, on a branch named by the order's status."""
+    phi = t(s, d, "orders").select(point(ORDER, F.col("o_orderkey")).alias("cell"), (F.col("o_custkey") % 100).cast("double").alias("phi")).unionByName(t(s, d, "part").select(point(PART, F.col("p_partkey")).alias("cell"), F.col("p_size").cast("double").alias("phi")))
+    first = F.col("l_linenumber") == 1
+    f = t(s, d, "lineitem").join(t(s, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus"), "l_orderkey")
+    f = f.select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("face"), point(ORDER, F.col("l_orderkey")).alias("owner"), F.when(~first, point(PART, F.col("l_partkey"))).alias("neighbor"), (F.col("l_quantity") - 25).cast("double").alias("mass_flux"), F.col("l_linenumber").cast("double").alias("area"), F.lit(2.0).alias("distance"), F.when(first, F.col("o_orderstatus")).alias("branch"))
+    return fvm.joined(f, phi)
+
+
+CONDITIONS = {"F": ("dirichlet", 10.0), "O": ("neumann", 1.5), "P": ("robin", 2.0, 4.0, 8.0)}
+BOUNDED = f"""f as (select {id_(6, 'l_orderkey')} as o, case when l_linenumber <> 1 then {id_(5, 'l_partkey')} end as n, (l_quantity - 25)::double as m, (o_custkey % 100)::double as a, p_size::double as b, l_linenumber::double as area, o_orderstatus as br
+  from lineitem join orders on l_orderkey = o_orderkey join part on l_partkey = p_partkey),
+g as (select *, case when n is not null then b when br = 'F' then 10 when br = 'O' then a else (8 - 4 * a) / 2 end as other, case when n is not null then (b - a) / 2 when br = 'F' then (10 - a) / 2 when br = 'O' then 1.5 else (8 - 2 * a) / 4 end as slope from f),
+x as (select o, n, m * case when m >= 0 then a else other end as c, -0.5 * slope * area as d, case when n is null and br = 'P' then 0.5 * 2 * area else 0 end as s from g)"""
+
+
+@query(f"with {BOUNDED} select cell, sum(c)::double as convective, sum(d)::double as diffusive, sum(c + d)::double as residual, sum(s)::double as source from (select o as cell, c, d, s from x union all select n, -c, -d, 0 from x where n is not null) group by 1")
+def fv_system(s, d):
+    return fvm.assemble_system(bounded_faces(s, d), CONDITIONS, CONDITIONS, 0.5)
+
+
+@query("select l_orderkey * 100 + 1 as face, 'unsupported_branch' as fault from lineitem join orders on l_orderkey = o_orderkey where l_linenumber = 1 and o_orderstatus = 'P'")
+def fv_system_violations(s, d):
+    some = {k: v for k, v in CONDITIONS.items() if k != "P"}
+    return fvm.system_faults(bounded_faces(s, d), some, CONDITIONS)

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..functions.cells import EDGES, choose
 from ..plans.loops import cut, empty
+from .checks import strict
+from .generate import Mesh
+from .generate import refine as refine_mesh
+from .topology import points
 
 
 def select(df: DataFrame, refine: Column, coarsen: Column) -> DataFrame:
@@ -21,6 +25,44 @@ def select_by_quality(quality: DataFrame, least_angle: float = 20.0, most_ratio:
     return select(quality, bad, good)
 
 
+def select_by_fvm(diagnostics: DataFrame, refine: tuple = (75.0, 4.0, 1e-8), coarsen: tuple = (35.0, 1.5, 1e-4)) -> DataFrame:
+    """diagnostics(non_orthogonality, skewness, length) with action: limits of angle, skewness and least length."""
+    a, k, h = F.col("non_orthogonality"), F.col("skewness"), F.col("length")
+    return select(diagnostics, (a > refine[0]) | (k > refine[1]) | (h < refine[2]), (a <= coarsen[0]) & (k <= coarsen[1]) & (h >= coarsen[2]))
+
+
+def coarsen(cones: DataFrame) -> DataFrame:
+    """Arrows of the coarse topology from cones(coarse, dst); see coarsen_faults for what it takes to be one."""
+    return cones.select(F.col("coarse").alias("src"), "dst").distinct()
+
+
+def coarsen_faults(arrows: DataFrame, merged: DataFrame, cones: DataFrame) -> DataFrame:
+    """(coarse, point, fault): points of merged(coarse, fine) and cones(coarse, dst) that the fine topology lacks."""
+    known = points(arrows)
+    rows = merged.select("coarse", F.col("fine").alias("point"), F.lit("fine").alias("fault")).unionByName(cones.select("coarse", F.col("dst").alias("point"), F.lit("cone").alias("fault")))
+    return rows.distinct().join(known, "point", "left_anti").select("coarse", "point", "fault")
+
+
+def adapt_topology(mesh: Mesh, indicator: DataFrame, refine_above: float, coarsen_below: float, plan=None) -> tuple[str, Mesh, DataFrame | None]:
+    """(action, mesh, map) by indicator(cell, value): if any cell is above the first limit those are refined, else what
+    is below the second is coarsened by plan(cells) -> (merged(coarse, fine), cones(coarse, dst)), else nothing is done.
+
+    The map has coarse and fine. A plan that names unknown points is an error.
+    """
+    marked = cut(indicator.select(F.col("cell").alias("point"), F.when(F.col("value") > refine_above, "refine").when(F.col("value") < coarsen_below, "coarsen").alias("action")))
+    up = marked.where("action = 'refine'").select("point")
+    if not empty(up):
+        return "refined", *refine_mesh(mesh, up)
+    down = marked.where("action = 'coarsen'").select("point")
+    if plan is None or empty(down):
+        return "unchanged", mesh, None
+    merged, cones = plan(down)
+    if empty(merged):
+        return "unchanged", mesh, None
+    strict(coarsen_faults(mesh.arrows, merged, cones))
+    return "coarsened", Mesh(coarsen(cones), mesh.cell_types, mesh.coords, mesh.labels), merged
+
+
 #: Places of a symmetric tensor's entries in the packed six doubles.
 PACKED = {2: [[0, 1], [1, 2]], 3: [[0, 1, 2], [1, 3, 4], [2, 4, 5]]}
 
@@ -76,6 +118,23 @@ def transfer_ownership(owners: DataFrame, mapping: DataFrame) -> DataFrame:
     return mapping.join(owners.withColumnRenamed("point", "coarse"), "coarse").groupBy(F.col("fine").alias("point")).agg(F.min("owner").alias("owner"))
 
 
+def transfer_labels(values: DataFrame, source: DataFrame, target: DataFrame, name: str) -> DataFrame:
+    """Rows of values(point, ...) copied to the points of target that have the same value of a label as theirs in source."""
+    from_ = source.where(F.col("name") == name).select("point", F.col("value").alias("_v"))
+    to = target.where(F.col("name") == name).select(F.col("point").alias("_to"), F.col("value").alias("_v"))
+    rest = [c for c in values.columns if c != "point"]
+    return values.join(from_, "point").join(to, "_v").select(F.col("_to").alias("point"), *rest)
+
+
+def transfer_label_faults(values: DataFrame, source: DataFrame, target: DataFrame, name: str) -> DataFrame:
+    """(value, fault): label values on several source points, wanted but on none, or on a point without data."""
+    s, t = (x.where(F.col("name") == name).select("point", "value") for x in (source, target))
+    twice = s.groupBy("value").count().where("count > 1").select("value", F.lit("duplicate").alias("fault"))
+    lost = t.select("value").distinct().join(s, "value", "left_anti").select("value", F.lit("missing").alias("fault"))
+    bare = s.join(t, "value", "left_semi").join(values.select("point"), "point", "left_anti").select("value", F.lit("no_data").alias("fault"))
+    return twice.unionByName(lost).unionByName(bare)
+
+
 def children(leaves: DataFrame, dim: int) -> DataFrame:
     """The 2^dim children of each of leaves(level, coords)."""
     offsets = F.array(*[F.array(*[F.lit(k >> d & 1).cast("long") for d in range(dim)]) for k in range(1 << dim)])

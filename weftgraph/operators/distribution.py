@@ -32,6 +32,19 @@ def add_links(overlap: DataFrame, new: DataFrame) -> DataFrame:
     return overlap.unionByName(new, allowMissingColumns=True).groupBy("rank", "point", "neighbor").agg(F.max("remote_point").alias("remote_point"))
 
 
+def remove_links(overlap: DataFrame, gone: DataFrame) -> DataFrame:
+    return overlap.join(gone.select("rank", "point", "neighbor"), ["rank", "point", "neighbor"], "left_anti")
+
+
+def retain_neighbors(overlap: DataFrame, ranks: list[int]) -> DataFrame:
+    """Links to the given ranks; neighbours left without links are gone with them, as links are all there is of one."""
+    return overlap.where(F.col("neighbor").isin(ranks))
+
+
+def remove_neighbor(overlap: DataFrame, rank: int) -> DataFrame:
+    return overlap.where(F.col("neighbor") != rank)
+
+
 def resolve(overlap: DataFrame, known: DataFrame) -> DataFrame:
     got = overlap.join(known.select("rank", "point", "neighbor", F.col("remote_point").alias("new")), ["rank", "point", "neighbor"], "left")
     return got.withColumn("remote_point", F.coalesce("remote_point", "new")).drop("new")
@@ -95,6 +108,30 @@ def complete_sieve(local: DataFrame, overlap: DataFrame, rounds: int = 50) -> Da
     raise RuntimeError("completion did not settle")
 
 
+def complete_reduced(values: DataFrame, reducer=F.sum) -> DataFrame:
+    """values(rank, point, idx, value) with every copy replaced by the reducer over all ranks' copies."""
+    every = values.groupBy("point", "idx").agg(reducer("value").alias("value"))
+    return values.select("rank", "point", "idx").join(every, ["point", "idx"]).select("rank", "point", "idx", "value")
+
+
+def complete_stack(vertical: DataFrame, overlap: DataFrame) -> DataFrame:
+    """vertical(rank, base, cap) with the neighbours' arrows of shared bases, each once."""
+    to = overlap.select(F.col("neighbor").alias("rank"), F.col("point").alias("base"), F.col("rank").alias("to"))
+    sent = vertical.join(to, ["rank", "base"]).select(F.col("to").alias("rank"), "base", "cap")
+    return vertical.select("rank", "base", "cap").unionByName(sent).distinct()
+
+
+def fetch(local: DataFrame, requests: DataFrame, kind: str = "cone") -> DataFrame:
+    """(rank, src, dst): cones or supports, from whatever rank has them, of the points that requests(rank, point) name."""
+    end = {"cone": "src", "support": "dst"}[kind]
+    return requests.select("rank", F.col("point").alias(end)).distinct().join(local.select("src", "dst").distinct(), end).select("rank", "src", "dst")
+
+
+def closure_completed(local: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(rank, point, depth): closures of seeds(rank, point) that go on through the arrows of all ranks."""
+    return closure(local.select("src", "dst").distinct(), seeds, keys=["rank"], max_depth=max_depth)
+
+
 def forest(owned: DataFrame) -> DataFrame:
     """Star forest of an ownership table: (rank, leaf, remote_rank, remote_point) for ghosts."""
     return owned.where("is_ghost").select("rank", F.col("point").alias("leaf"), F.col("owner").alias("remote_rank"), F.col("point").alias("remote_point"))

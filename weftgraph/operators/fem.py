@@ -61,7 +61,19 @@ def _powers(tag: str, order: int) -> np.ndarray:
 
 
 def tabulate(tag: str, order: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Values (points, nodes) and gradients (points, nodes, dim) of the Lagrange basis, by inverting its Vandermonde matrix."""
+    """Values (points, nodes) and gradients (points, nodes, dim) of the Lagrange basis, by inverting its Vandermonde matrix.
+
+    A pyramid has its base's bilinear basis fading towards the apex, of order 1 only.
+    """
+    if tag == "pyramid":
+        if order != 1:
+            raise ValueError("a pyramid has a basis of order 1 only")
+        base, slope = tabulate("quadrilateral", 1, at[:, :2])
+        up = at[:, 2:]
+        values = np.concatenate([base * (1 - up), up], axis=1)
+        grads = np.zeros((len(at), 5, 3))
+        grads[:, :4, :2], grads[:, :4, 2], grads[:, 4, 2] = slope * (1 - up)[..., None], -base, 1.0
+        return values, grads
     exps, where = _powers(tag, order), nodes(tag, order)
     if len(exps) != len(where):
         raise ValueError(f"{tag} has no Lagrange basis of order {order}")
@@ -87,7 +99,8 @@ def element_matrices(cells: DataFrame, tag: str, degree: int = 2, load: float =
     """(cell, row, col, stiffness, mass, load) by local nodes, for first-order cells(cell, tag, pts) of one type.
 
     Cells go through numpy in Arrow batches: a batch's Jacobians are one array, and each cell's matrices come out as
-    long rows, ready for a grouped sum.
+    long rows, ready for a grouped sum. A degenerate cell has no volume, so its entries are zero; surfaces in space are
+    measured as they lie.
     """
     from collections.abc import Iterator
 
@@ -102,8 +115,9 @@ def element_matrices(cells: DataFrame, tag: str, degree: int = 2, load: float =
                 continue
             pts = np.array([[list(p) for p in c] for c in pdf["pts"]], float)
             jac = np.einsum("cnd,qnr->cqdr", pts, g)
-            det = np.abs(np.linalg.det(jac))
-            grad = np.einsum("qnr,cqrd->cqnd", g, np.linalg.inv(jac))
+            square = np.einsum("cqdr,cqds->cqrs", jac, jac)  # cells of a surface or line have fewer columns than rows
+            det = np.sqrt(np.maximum(np.linalg.det(square), 0.0))
+            grad = np.einsum("qnr,cqrd->cqnd", g, np.linalg.pinv(jac))
             stiff = np.einsum("q,cq,cqnd,cqmd->cnm", w, det, grad, grad)
             mass = np.einsum("q,cq,qn,qm->cnm", w, det, v, v)
             rhs = load * np.einsum("q,cq,qn->cn", w, det, v)
@@ -115,6 +129,23 @@ def element_matrices(cells: DataFrame, tag: str, degree: int = 2, load: float =
     return cells.where(F.col("tag") == tag).select("cell", "pts").mapInPandas(run, "cell long, row int, col int, stiffness double, mass double, load double")
 
 
+def integrate(tag: str, f, degree: int = 2) -> float:
+    """Integral over the reference cell of f(points): numpy over one quadrature rule."""
+    x, w = quadrature(tag, degree)
+    return float(np.sum(w * np.asarray(f(x), float)))
+
+
+#: What each cell type can be used for: finite elements of order one, finite volumes.
+CAPABILITY = {tag: (True, True) for tag in ("segment", "triangle", "quadrilateral", "tetrahedron", "hexahedron", "prism", "pyramid")} | {"polygon": (False, True), "polyhedron": (False, True), "vertex": (False, False)}
+
+
+def unsupported(cell_types: DataFrame, method: str = "finite_volume") -> DataFrame:
+    """(point, tag) of cells whose type the method can't use; vertices don't count."""
+    k = ("finite_element", "finite_volume").index(method)
+    good = [t for t, c in CAPABILITY.items() if c[k]] + ["vertex", *(["simplex"] if k else [])]
+    return cell_types.where(~F.col("tag").isin(good)).select("point", "tag")
+
+
 def assemble(matrices: DataFrame, cells: DataFrame, value: str = "stiffness") -> DataFrame:
     """(row, col, value) by global vertices; cells(cell, vertices)."""
     got = matrices.join(cells.select("cell", "vertices"), "cell")

@@ -70,6 +70,71 @@ def residual(faces: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     return rows.groupBy("cell").agg(F.sum("v").alias("residual"))
 
 
+#: Fixed value: the least divisor in a mixed condition.
+TINY = 1e-14
+
+
+def _by_branch(conditions: dict[str, tuple], form) -> Column:
+    """form(kind, parameters) by a face's branch; null for others."""
+    out = F.when(F.lit(False), F.lit(0.0))
+    for branch, (kind, *p) in sorted(conditions.items()):
+        out = out.when(F.col("branch") == branch, form(kind, p))
+    return out
+
+
+def _border_value(kind: str, p: list[float]) -> Column:
+    phi = F.col("phi_o")
+    if kind == "dirichlet":
+        return F.lit(float(p[0]))
+    if kind == "neumann":
+        return phi
+    alpha, beta, gamma = p
+    return phi if abs(alpha) < TINY else (gamma - beta * phi) / alpha
+
+
+def _border_slope(kind: str, p: list[float]) -> Column:
+    phi = F.col("phi_o")
+    if kind == "dirichlet":
+        return (F.lit(float(p[0])) - phi) / F.greatest("distance", F.lit(TINY))
+    if kind == "neumann":
+        return F.lit(float(p[0]))
+    alpha, beta, gamma = p
+    return (gamma - alpha * phi) / max(beta, TINY)
+
+
+def system_faults(faces: DataFrame, convective: dict[str, tuple], diffusive: dict[str, tuple]) -> DataFrame:
+    """(face, fault) of what assemble_system can't take: faces(face, owner, neighbor, area, distance, branch)."""
+    both = sorted(set(convective) & set(diffusive))
+    border = F.col("neighbor").isNull()
+    tests = {
+        "no_metric": F.col("area").isNull() | F.col("distance").isNull(),
+        "no_cell": F.col("phi_o").isNull() | (~border & F.col("phi_n").isNull()),
+        "no_branch": border & F.col("branch").isNull(),
+        "unsupported_branch": border & F.col("branch").isNotNull() & ~F.col("branch").isin(both),
+        "branch_inside": ~border & F.col("branch").isNotNull(),
+    }
+    found = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in tests.items()]))
+    return faces.select("face", F.explode(found).alias("fault"))
+
+
+def assemble_system(faces: DataFrame, convective: dict[str, tuple], diffusive: dict[str, tuple], gamma: float, scheme: str = "upwind", strict: bool = True) -> DataFrame:
+    """(cell, convective, diffusive, residual, source) of faces(face, owner, neighbor, mass_flux, phi_o, phi_n, area, distance, branch).
+
+    Conditions by branch are ("dirichlet", value), ("neumann", gradient) or ("robin", alpha, beta, gamma), for the
+    convected value and for the normal gradient. A boundary face without one is an error, or adds nothing if not strict.
+    """
+    border = F.col("neighbor").isNull()
+    lost = F.raise_error(F.concat(F.lit("no condition on face "), F.coalesce(F.col("face").cast("string"), F.lit("null")))).cast("double") if strict else F.lit(None).cast("double")
+    other = F.when(border, F.coalesce(_by_branch(convective, _border_value), lost)).otherwise(F.col("phi_n"))
+    slope = F.when(border, F.coalesce(_by_branch(diffusive, _border_slope), lost)).otherwise((F.col("phi_n") - F.col("phi_o")) / F.col("distance"))
+    mixed = _by_branch(diffusive, lambda kind, p: F.lit(p[2] / max(p[1], TINY)) if kind == "robin" else F.lit(0.0))
+    flux = faces.select("owner", "neighbor", (F.col("mass_flux") * face_value(scheme, F.col("mass_flux"), F.col("phi_o"), other)).alias("c"), (-F.lit(gamma) * slope * F.col("area")).alias("d"), F.when(border, F.lit(gamma) * mixed * F.col("area")).alias("s"))
+    side = lambda end, sign: F.struct(F.col(end).alias("cell"), (sign * F.col("c")).alias("c"), (sign * F.col("d")).alias("d"), (F.col("s") if sign > 0 else F.lit(0.0)).alias("s"))
+    rows = flux.select(F.explode(F.array(side("owner", 1.0), side("neighbor", -1.0))).alias("x")).select("x.*").where("cell is not null")
+    got = rows.groupBy("cell").agg(*[F.coalesce(F.sum(k), F.lit(0.0)).alias(n) for k, n in (("c", "convective"), ("d", "diffusive"), ("s", "source"))])
+    return got.select("cell", "convective", "diffusive", (F.col("convective") + F.col("diffusive")).alias("residual"), "source")
+
+
 def gradients(faces: DataFrame, volumes: DataFrame) -> DataFrame:
     """(cell, gradient) by Green and Gauss: mean face values times area vectors, over the volume; one component a row."""
     mean = (F.col("phi_o") + F.coalesce("phi_n", "phi_o")) / 2

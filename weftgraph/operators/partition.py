@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.loops import cut
+from .topology import dense_index, exclusive_sum
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -49,13 +50,15 @@ def vertex_cuts(edges: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def louvain(edges: DataFrame, vertices: DataFrame, targets: int, alpha: float = 0.75, max_iters: int = 20) -> DataFrame:
-    """(vertex, cluster): the best pair of clusters merges in each round, until `targets` clusters or max_iters rounds.
+    """(vertex, cluster): in each round pairs of clusters that are each other's best merge, until `targets` are left,
+    nothing gains, or after max_iters rounds.
 
     A pair's score is its modularity gain scaled by alpha and by the ratio of the smaller to the larger volume; ties go
-    to the lesser ids. Only one row a round reaches the driver.
+    to the lesser ids, and if fewer merges are wanted than there are, to the best ones. The best pair of all is always
+    mutual, so each round merges one at least, and rounds follow the logarithm of the clusters where they pair up well.
     """
     m = edges.count()
-    state = cut(vertices.select("vertex", F.col("vertex").alias("cluster")))
+    state = cut(vertices.select("vertex", F.col("vertex").alias("cluster")).distinct())
     n = state.count()
     degree = cut(degrees(edges))
     for _ in range(max_iters):
@@ -66,35 +69,48 @@ def louvain(edges: DataFrame, vertices: DataFrame, targets: int, alpha: float =
         volume = state.join(degree, "vertex", "left").groupBy("cluster").agg(F.sum(F.coalesce("degree", F.lit(0))).alias("vol"))
         pairs = between.join(volume.select(F.col("cluster").alias("x"), F.col("vol").alias("vx")), "x").join(volume.select(F.col("cluster").alias("y"), F.col("vol").alias("vy")), "y")
         gain = F.col("e") / m - F.col("vx") * F.col("vy") / (2.0 * m * m)
-        best = pairs.withColumn("score", gain * alpha * F.least("vx", "vy") / F.greatest("vx", "vy")).orderBy(F.desc("score"), "x", "y").limit(1).collect()
-        if not best or best[0]["score"] <= 0:
+        scored = pairs.select("x", "y", (gain * alpha * F.least("vx", "vy") / F.greatest("vx", "vy")).alias("score")).where("score > 0")
+        sides = F.explode(F.array(F.struct(F.col("x").alias("own"), F.col("y").alias("o")), F.struct(F.col("y").alias("own"), F.col("x").alias("o")))).alias("p")
+        best = scored.select("x", "y", "score", sides).groupBy("p.own").agg(F.max(F.struct("score", (-F.col("x")).alias("x"), (-F.col("y")).alias("y"))).alias("b"))
+        mutual = cut(best.groupBy((-F.col("b.x")).alias("x"), (-F.col("b.y")).alias("y")).agg(F.count("*").alias("k"), F.max("b.score").alias("score")).where("k = 2"))
+        found = mutual.count()
+        if not found:
             break
-        x, y = best[0]["x"], best[0]["y"]
-        state = cut(state.withColumn("cluster", F.when(F.col("cluster") == y, F.lit(x)).otherwise(F.col("cluster"))))
-        n -= 1
+        if found > n - targets:
+            order = dense_index(mutual.withColumn("rank", -F.col("score")), ["rank", "x", "y"], "i")
+            mutual, found = order.where(F.col("i") < n - targets), n - targets
+        state = cut(state.join(mutual.select(F.col("y").alias("cluster"), F.col("x").alias("_x")), "cluster", "left").select("vertex", F.coalesce("_x", "cluster").alias("cluster")))
+        n -= found
     return state
 
 
 def merge_clusters(clusters: DataFrame, edges: DataFrame, parts: int, epsilon: float = 0.05) -> DataFrame:
-    """(vertex, part): clusters by falling volume go to the least loaded part that stays within (1 + epsilon) of the mean,
-    with epsilon growing until all fit. Only cluster volumes, of which there are as many as Louvain left, reach the driver."""
-    volume = clusters.join(degrees(edges), "vertex", "left").groupBy("cluster").agg(F.sum(F.coalesce("degree", F.lit(0))).alias("vol"))
-    rows = sorted(((r["vol"], r["cluster"]) for r in volume.toLocalIterator()), key=lambda r: (-r[0], r[1]))
-    total = sum(v for v, _ in rows)
-    while True:
-        room, load, chosen = math.ceil((1 + epsilon) * total / parts) if total else 0, [0] * parts, {}
-        for v, c in rows:
-            k = min(range(parts), key=lambda p: (load[p], p))
-            if load[k] + v > room and load[k]:
-                break
-            load[k] += v
-            chosen[c] = k
-        if len(chosen) == len(rows):
-            break
-        epsilon = epsilon * 2 + 0.01
+    """(vertex, part): loads, as sums of degrees, stay within a cluster or epsilon of the mean.
+
+    Clusters over epsilon of the mean load, at most parts / epsilon of them, go to the least loaded part by falling
+    volume. The others, in the same order, fill what each part lacks to the mean by their prefix sums. Clusters without
+    edges are dealt by a hash.
+    """
+    volume = cut(clusters.join(degrees(edges), "vertex", "left").groupBy("cluster").agg(F.sum(F.coalesce("degree", F.lit(0))).cast("long").alias("vol")))
+    total = volume.agg(F.sum("vol")).first()[0] or 0
+    mean = total / parts
+    load, head = [0] * parts, []
+    for r in volume.where(F.col("vol") > epsilon * mean).orderBy(F.desc("vol"), "cluster").collect() if total else []:
+        k = min(range(parts), key=lambda p: (load[p], p))
+        load[k] += r["vol"]
+        head.append((r["cluster"], k))
+    ends, room = [], 0.0
+    for x in load:
+        room += max(0.0, mean - x)
+        ends.append(room)
     spark = clusters.sparkSession
-    table = spark.createDataFrame([(c, k) for c, k in chosen.items()], "cluster long, part int")
-    return clusters.join(table, "cluster").select("vertex", "part")
+    big = F.broadcast(spark.createDataFrame(head, "cluster long, part int"))
+    small = exclusive_sum(volume.where((F.col("vol") > 0) & (F.col("vol") <= epsilon * mean)).withColumn("_o", -F.col("vol")), "vol", ["_o", "cluster"], "before")
+    full = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= F.col("before")))
+    fill = small.select("cluster", F.least(full, F.lit(parts - 1)).cast("int").alias("part"))
+    bare = volume.where("vol = 0").select("cluster", F.pmod(F.xxhash64("cluster"), F.lit(parts)).cast("int").alias("part"))
+    chosen = volume.select("cluster").join(big, "cluster").unionByName(fill).unionByName(bare)
+    return clusters.join(chosen, "cluster").select("vertex", "part")
 
 
 def partition(edges: DataFrame, vertices: DataFrame, parts: int, alpha: float = 0.75, epsilon: float = 0.05, max_iters: int = 20, seed_factor: float = 4.0) -> DataFrame:

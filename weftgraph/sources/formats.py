@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import VERTICES
 from ..operators.generate import Mesh, cell_vertices
+from ..operators.topology import dense_index
 from ..plans.loops import cut
 
 WIDE = "kind string, a long, b long, slot int, tag string, param int, value int, xyz array<double>, file string"
@@ -349,7 +350,27 @@ def exodus_lines(mesh: Mesh, dim: int = 3) -> DataFrame:
     return out.unionByName(labels) if labels is not None else out
 
 
-WRITERS = {"gmsh": gmsh_lines, "vtk": vtk_lines, "exodus": exodus_lines}
+def xdmf_lines(mesh: Mesh) -> DataFrame:
+    """(part, n, line): XDMF with inline items, for cells of one type; places follow the points' order."""
+    spark = mesh.arrows.sparkSession
+    cells = cut(cell_vertices(mesh))
+    tags = [r["tag"] for r in cells.select("tag").distinct().limit(2).collect()]
+    if len(tags) > 1:
+        raise ValueError("an inline XDMF topology has one type")
+    tag = tags[0] if tags else "triangle"
+    kind = {"segment": "Polyline", "prism": "Wedge"}.get(tag, tag.capitalize())
+    at = cut(dense_index(mesh.coords.select("point", "xyz"), ["point"], "i"))
+    n, m, d = at.count(), cells.count(), VERTICES[tag]
+    corners = cells.select("cell", F.posexplode("vertices").alias("slot", "point")).join(at.select("point", "i"), "point").groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("slot", "i"))).alias("x"))
+    head = f'<Xdmf Version="3.0">\n<Domain>\n<Grid Name="mesh" GridType="Uniform">\n<Geometry GeometryType="XYZ">\n<DataItem Format="XML" Dimensions="{n} 3">'
+    middle = f'</DataItem>\n</Geometry>\n<Topology TopologyType="{kind}" NumberOfElements="{m}" NodesPerElement="{d}">\n<DataItem Format="XML" Dimensions="{m} {d}">'
+    fixed = spark.createDataFrame([(0, 0, head), (2, 0, middle), (4, 0, "</DataItem>\n</Topology>\n</Grid>\n</Domain>\n</Xdmf>")], "part int, n long, line string")
+    places = at.select(F.lit(1).alias("part"), F.col("i").alias("n"), _numbers(F.col("xyz")).alias("line"))
+    rows = corners.select(F.lit(3).alias("part"), F.col("cell").alias("n"), F.array_join(F.transform("x.i", lambda i: i.cast("string")), " ").alias("line"))
+    return fixed.unionByName(places).unionByName(rows)
+
+
+WRITERS = {"gmsh": gmsh_lines, "vtk": vtk_lines, "exodus": exodus_lines, "xdmf": xdmf_lines}
 
 
 def write_mesh(mesh: Mesh, path: str, kind: str, one_file: bool = True, **options) -> None:
