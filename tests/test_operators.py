@@ -313,6 +313,20 @@ def test_nearest(spark):
     assert {r.target: r.source for r in geometry.nearest(src, tgt, 0.05).collect()} == want
 
 
+def test_nearest_on_a_line(spark):
+    """Least ids of equals on both sides, of repeated places and of distances that round alike, as over all pairs."""
+    rng = np.random.default_rng(1)
+    a = [*(np.round(rng.random(400) * 50) / 4 + 900).tolist(), 1e17 + 64, 1e17, 1e17 + 32, float("inf"), None]
+    b = [*(np.round(rng.random(300) * 800) / 8 + 860).tolist(), -1e16, 3e17, 1e300, -1e300, float("inf"), None]
+    src = spark.createDataFrame([(len(a) - i, [x]) for i, x in enumerate(a)], "source long, x array<double>")
+    tgt = spark.createDataFrame([(i, [x]) for i, x in enumerate(b)], "target long, x array<double>")
+    got = {r.target: (r.distance, r.source) for r in geometry.nearest(src, tgt, 1.0).collect()}
+    known = [(len(a) - i, x) for i, x in enumerate(a) if x is not None and x < float("inf")]
+    want = {i: min((abs(t - x), s) for s, x in known) if t is not None else (None, min(known)[0]) for i, t in enumerate(b)}
+    assert got == want
+    assert {r.target: r.source for r in geometry.nearest(src.limit(0), tgt, 1.0).collect()} == dict.fromkeys(range(len(b)))
+
+
 @pytest.mark.parametrize("tag", ["segment", "triangle", "quadrilateral", "tetrahedron", "hexahedron", "prism", "pyramid"])
 def test_reference_maps(spark, tag):
     cell = generate.cell_coordinates(generate.reference_cell(spark, tag))

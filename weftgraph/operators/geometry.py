@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.cells import EDGES, FACES, choose
+from .topology import last_before
 
 
 def _p(pts: Column, k: int) -> Column:
@@ -156,15 +157,59 @@ def wrapped(x: Column, low: list[float], period: list[float | None]) -> Column:
     return F.array(*[F.get(x, F.lit(k)) if p is None else F.lit(a) + F.pmod(F.get(x, F.lit(k)) - a, F.lit(p)) for k, (a, p) in enumerate(zip(low, period, strict=True))])
 
 
+def _nearest_on_line(sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """nearest in one dimension: targets and the sources' positions are sorted together, so each target meets the
+    positions on its two sides and no others. Positions beyond these whose distance rounds to the same number are
+    looked for where there are any."""
+    from ..plans.loops import cut, empty
+
+    def finite(x: Column) -> Column:
+        return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+    first = F.get("x", F.lit(0)).cast("double")
+    spots = cut(sources.select(first.alias("x"), "source").where(finite(F.col("x"))).groupBy("x").agg(F.min("source").alias("source")))
+    if empty(spots):
+        return targets.select("target", F.lit(None).cast("long").alias("source"), F.lit(None).cast("double").alias("distance")).distinct()
+    spots = cut(last_before(spots, F.col("x"), ["x"], "below"))
+    follows = spots.select(F.col("below").alias("x"), F.col("x").alias("nx"), F.col("source").alias("next"))
+    spots = spots.join(follows, "x", "left").join(follows.select(F.col("x").alias("nx"), F.col("nx").alias("above")), "nx", "left")
+    spots = cut(spots.select("x", F.struct("x", "source", "below").alias("low"), F.struct(F.col("nx").alias("x"), F.col("next").alias("source"), "above").alias("high")))
+    least = F.broadcast(spots.agg(F.min_by(F.struct(F.col("low.x").alias("x"), F.col("low.source").alias("source"), F.col("high.x").alias("above")), "x").alias("lowest"), F.min("low.source").alias("least")))
+    at = targets.select("target", first.alias("x"))
+
+    rows = spots.select("x", F.lit(None).cast(at.schema["target"].dataType).alias("target"), F.struct("low", "high").alias("spot"), F.lit(0).alias("kind"))
+    rows = rows.unionByName(at.where(finite(F.col("x"))).select("x", "target", F.lit(None).cast(rows.schema["spot"].dataType).alias("spot"), F.lit(1).alias("kind")))
+    met = last_before(rows, F.col("spot"), ["x", "kind", "target"], "by").where("kind = 1").crossJoin(least)
+    met = met.select("target", "x", F.col("by.low").alias("low"), F.when(F.col("by").isNull(), F.col("lowest")).otherwise(F.col("by.high")).alias("high"))
+    off = lambda c: F.abs(F.col("x") - F.col(c))
+    met = met.withColumn("distance", F.least(off("low.x"), off("high.x")))
+    is_low, is_high = off("low.x") == F.col("distance"), off("high.x") == F.col("distance")
+    more = (is_low & (off("low.below") == F.col("distance"))) | (is_high & (off("high.above") == F.col("distance")))
+    met = cut(met.select("target", "x", F.least(F.when(is_low, F.col("low.source")), F.when(is_high, F.col("high.source"))).alias("source"), "distance", F.coalesce(more, F.lit(False)).alias("more")))
+    found = met.where("not more").select("target", "source", "distance")
+    rounded = met.where("more").select("x", "distance").distinct()
+    if not empty(rounded):
+        same = rounded.crossJoin(spots.select(F.col("low.x").alias("s"), F.col("low.source").alias("source"))).where(F.abs(F.col("x") - F.col("s")) == F.col("distance"))
+        found = found.unionByName(met.where("more").select("target", "x").join(same.groupBy("x").agg(F.min("source").alias("source"), F.min("distance").alias("distance")), "x").select("target", "source", "distance"))
+    # from a place that isn't known, or is at infinity, all are as far
+    found = found.unionByName(at.where(~finite(F.col("x"))).crossJoin(least).select("target", F.col("least").alias("source"), F.abs("x").alias("distance")))
+    best = F.min(F.struct(F.col("distance").isNull().alias("unknown"), "distance", "source"))
+    return found.groupBy("target").agg(best.alias("m")).select("target", F.col("m.source").alias("source"), F.col("m.distance").alias("distance"))
+
+
 def nearest(sources: DataFrame, targets: DataFrame, size: float, rings: int = 64) -> DataFrame:
     """(target, source, distance): the nearest of sources(source, x) to each of targets(target, x), the least id of equals.
 
-    Grid buckets are searched ring by ring, and a target is done when its best is nearer than the next ring; what is
-    left after `rings` doublings of the ring is an error.
+    On a line both sides are sorted together. In more dimensions sources at one place are one, and grid buckets are
+    searched ring by ring; a target is done when its best is nearer than the next ring, and what is left after `rings`
+    doublings of the ring is an error.
     """
     from ..plans.loops import cut, empty
 
     dim = sources.select(F.max(F.size("x"))).first()[0] or 1
+    if dim == 1:
+        return _nearest_on_line(sources, targets)
+    sources = cut(sources.groupBy("x").agg(F.min("source").alias("source")))
     names = [f"b{k}" for k in range(dim)]
 
     def at(df: DataFrame, step: float) -> DataFrame:
