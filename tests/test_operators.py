@@ -148,6 +148,23 @@ def test_resize_reverse_and_labels(spark):
     want = {"zero": [0] * 5, "pad": [9] * 5, "prefix": [1, 2, 3, 0, 0], "suffix": [0, 0, 1, 2, 3]}
     assert {p: sections.resize(s, n, p, 9.0).first()["values"] for p in want} == want
     assert sections.resize(s, n.withColumn("len", F.lit(2)), "suffix").first()["values"] == [2, 3]
+
+
+def test_scatter(spark):
+    """Slices of any length, holes and empty slices; a small layout's spans aren't broadcast."""
+    lens = [3, 0, 200, 1, 64, 0, 65]
+    layout = sections.atlas(spark.createDataFrame([(k + 1, k, n) for k, n in enumerate(lens)], "point long, seq long, len int"))
+    total = sum(lens)
+    buffer = spark.createDataFrame([(i, i / 2) for i in reversed(range(total)) if i != 1], "index long, value double")
+    got = sections.scatter(layout, buffer)
+    at, want = 0, {}
+    for k, n in enumerate(lens):
+        if n:
+            want[k + 1] = [i / 2 for i in range(at, at + n) if i != 1]
+        at += n
+    assert {r.point: r.values for r in got.collect()} == want
+    joined = sections.scatter(spark.range(9).selectExpr("id as point", "id as seq", "1000000 as len", "id * 1000000 as offset"), spark.range(9).selectExpr("id as index", "1.0D as value"))
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
     own = spark.createDataFrame([("a", 1, 1), ("a", 2, 2)], "name string, point long, value int")
     all_ = labels.propagate_all(own, arrows(spark, [(1, 3), (2, 3), (3, 4)]))
     assert {(r.point, r.value) for r in all_.collect()} == {(1, 1), (2, 2), (3, 2), (4, 2)}

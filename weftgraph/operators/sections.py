@@ -29,10 +29,21 @@ def flat(section: DataFrame) -> DataFrame:
     return laid.select("offset", "point", F.posexplode("values").alias("idx", "value")).select((F.col("offset") + F.col("idx")).alias("index"), "point", "idx", "value")
 
 
+#: Indices of a buffer that meet the slices' spans at once.
+RUN = 64
+
+
 def scatter(layout: DataFrame, buffer: DataFrame) -> DataFrame:
-    """(point, seq, values) from buffer(index, value); slices with a hole come out short, see length_faults."""
-    cells = layout.select("point", "seq", "offset", "len", F.explode(F.sequence(F.lit(0).cast("long"), F.col("len") - 1)).alias("idx")).withColumn("index", F.col("offset") + F.col("idx"))
-    got = cells.join(buffer, "index").groupBy("point", "seq").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("x"))
+    """(point, seq, values) from buffer(index, value); slices with a hole come out short, see length_faults.
+
+    Values meet the spans that touch their run of indices. The join is by sorting: a layout is small beside the spans
+    that it is spread to, so its size mustn't decide that these are broadcast.
+    """
+    runs = F.sequence(F.floor(F.col("offset") / RUN), F.floor((F.col("offset") + F.col("len") - 1) / RUN))
+    spans = layout.where("len > 0").select("point", "seq", "offset", "len", F.explode(runs).alias("run"))
+    values = buffer.select("index", "value", F.floor(F.col("index") / RUN).alias("run"))
+    met = values.join(spans.hint("merge"), "run").where("index >= offset and index < offset + len")
+    got = met.groupBy("point", "seq").agg(F.array_sort(F.collect_list(F.struct((F.col("index") - F.col("offset")).alias("idx"), "value"))).alias("x"))
     return got.select("point", "seq", F.col("x.value").alias("values"))
 
 
