@@ -186,6 +186,15 @@ def test_recall_where_the_fit_is_a_small_sample(spark):
     assert planted <= want and len(got & want) >= 0.99 * len(want)
 
 
+def test_the_fit_has_all_documents(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(dc, "latent", lambda passages, idf, rank: fitted.append(passages.count()) or np.ones((1 << dc.BITS, 2), np.float32))
+    docs = spark.range(7000).selectExpr("id as doc_id", "concat('word', id) as text")
+    bench = spark.createDataFrame([(1, "one item of five words")], "item_id long, text string")
+    assert dc.contaminated(docs, bench).count() == 0
+    assert fitted == [7001]
+
+
 def test_shares_are_those_of_the_best_span():
     r = random.Random(6)
     words = [f"w{k}" for k in range(12)]

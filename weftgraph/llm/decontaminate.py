@@ -26,8 +26,9 @@ LEAST = 5
 #: Letters of scripts without spaces, each a word, and marks that part words.
 LETTERS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17d3\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 MARKS = re.compile("[\u17d4-\u17da\u3000-\u3004\u3008-\u3020\u3030\u303d\u30fb\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
-#: Blocks in which partial products are added up.
-SPLIT = 32
+#: Blocks in which partial products are added up, and sums of partitions that are added first.
+SPLIT = 128
+SUMS = 32
 #: Items whose vectors are in memory at once; more items take more passes.
 BLOCK = 2_000
 
@@ -133,33 +134,104 @@ def _tfidf(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return row, col, (val / norm[row]).astype(np.float32), len(start)
 
 
+def _blocks(ids: np.ndarray, first: np.ndarray, end: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words of texts in rows of STRIDE, filled up with pad, and each text's number of rows."""
+    n = end - first
+    blocks = -(-n // STRIDE)
+    base = np.cumsum(blocks) - blocks
+    out = np.full(int(blocks.sum()) * STRIDE, pad, np.int64)
+    own = np.repeat(np.arange(len(n)), n)
+    out[base[own] * STRIDE + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)] = ids
+    return out.reshape(-1, STRIDE), blocks
+
+
+def _norms(words: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Lengths of the TF-IDF vectors of passages, rows of words; idf is 0 for what fills them up."""
+    words = np.sort(words.astype(np.int32), axis=1)
+    new = np.ones(words.shape, bool)
+    new[:, 1:] = words[:, 1:] != words[:, :-1]
+    at = np.flatnonzero(new)
+    val = np.diff(at, append=words.size) * idf[words.ravel()[at]]
+    return np.sqrt(np.bincount(at // words.shape[1], val * val, minlength=len(words)))
+
+
+def _products(texts: list[str], idf: np.ndarray, table: np.ndarray, back: np.ndarray, gram: np.ndarray) -> None:
+    """Adds to back, still without its factor idf, and gram what the texts' passages give.
+
+    idf and table, omega's rows times idf, have a last row of zeros.
+    A passage is two blocks of STRIDE words, so sums over blocks serve two passages each, in both directions.
+    """
+    h, a, b = _words(texts)
+    if not len(h):
+        return
+    words, blocks = _blocks(_ids(h), a, b, len(back))
+    per = np.where(blocks > 0, np.maximum(1, blocks - 1), 0)
+    base = np.cumsum(blocks) - blocks
+    own = np.repeat(np.arange(len(per)), per)
+    block = base[own] + np.arange(len(own)) - np.repeat(np.cumsum(per) - per, per)
+    more = np.flatnonzero(blocks[own] > 1)
+    second = np.full((len(block), STRIDE), len(back), np.int64)
+    second[more] = words[block[more] + 1]
+    norm = _norms(np.concatenate([words[block], second], axis=1), idf)[:, None].astype(np.float32)
+    total = table[words[:, 0]]
+    for j in range(1, STRIDE):
+        total += table[words[:, j]]
+    y = total[block]
+    y[more] += total[block[more] + 1]
+    y /= norm
+    gram += y.T @ y
+    y /= norm
+    total[:] = 0
+    total[block] = y
+    total[block[more] + 1] += y[more]
+    flat = words.ravel()
+    order = np.argsort(flat.astype(np.uint16), kind="stable")  # a radix sort; what fills up comes last
+    order = order[: np.searchsorted(flat[order], len(back))]
+    first = np.flatnonzero(np.diff(flat[order], prepend=-1))
+    times = np.diff(first, append=len(order))
+    block = order // STRIDE
+    got = total[block[first]]
+    for k in range(1, STRIDE):
+        at = np.flatnonzero((times > k) & (times <= STRIDE))
+        got[at] += total[block[first[at] + k]]
+    often = np.flatnonzero(times > STRIDE)
+    if len(often):  # of frequent words, how often they stand in each block
+        which = np.repeat(np.arange(len(often)), times[often])
+        place = np.arange(len(which)) - np.repeat(np.cumsum(times[often]) - times[often], times[often]) + first[often][which]
+        n = np.bincount(which * len(total) + block[place], minlength=len(often) * len(total))
+        got[often] = n.reshape(len(often), -1).astype(np.float32) @ total
+    back[flat[order][first]] += got
+
+
 def _apply(passages: DataFrame, idf: np.ndarray, omega: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A^T (A omega) and (A omega)^T (A omega) of the passages' matrix A, summed over partitions."""
     shared = passages.sparkSession.sparkContext.broadcast((idf, omega.astype(np.float32)))
     rank = omega.shape[1]
 
-    def part(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, om = shared.value
-        back, gram = np.zeros(om.shape, np.float32), np.zeros((rank, rank), np.float32)
-        for pdf in parts:
-            for texts in textnum.chunks(pdf["t"], 1 << 17):
-                row, col, val, n = _tfidf(texts, idf)
-                if not n:
-                    continue
-                y = np.add.reduceat(val[:, None] * om[col], np.flatnonzero(np.diff(row, prepend=-1)), axis=0)
-                gram += y.T @ y
-                order = np.argsort(col, kind="stable")
-                first = np.flatnonzero(np.diff(col[order], prepend=-1))
-                back[col[order][first]] += np.add.reduceat(val[order, None] * y[row[order]], first, axis=0)
-        blocks = [gram, *np.split(back, SPLIT)]
-        yield pd.DataFrame({"block": range(-1, SPLIT), "data": [x.tobytes() for x in blocks]})
+        idf = np.append(idf, 0.0)
+        table = np.concatenate([om * idf[:-1, None].astype(np.float32), np.zeros((1, rank), np.float32)])
+        back, gram = np.zeros(om.shape, np.float32), np.zeros((rank, rank))
+        seen = False
+        for batch in slices(batches):
+            seen = seen or bool(batch.num_rows)
+            for texts in textnum.chunks(batch.column(0).to_pylist(), 1 << 17):
+                _products(texts, idf, table, back, gram)
+        if seen:
+            back *= idf[:-1, None].astype(np.float32)
+            blocks = [gram.astype(np.float32), *np.split(back, SPLIT)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(-1, SPLIT), pa.int32()), pa.array([x.tobytes() for x in blocks], pa.binary())], names=["block", "data"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in pdf["data"])
+        total = np.zeros(len(pdf["data"].iloc[0]) // 4)
+        for x in pdf["data"]:
+            total += np.frombuffer(x, np.float32)
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "data": [total.astype(np.float32).tobytes()]})
 
-    # sums meet block by block on the executors; the driver gets each block once
-    summed = passages.mapInPandas(part, "block int, data binary").groupBy("block").applyInPandas(add, "block int, data binary")
+    # sums meet block by block on the executors, some partitions' first; the driver gets each block once
+    summed = passages.select("t").mapInArrow(part, "block int, data binary").withColumn("some", F.pmod(F.spark_partition_id(), F.lit(SUMS)))
+    summed = summed.groupBy("block", "some").applyInPandas(add, "block int, data binary").groupBy("block").applyInPandas(add, "block int, data binary")
     back, gram = np.zeros(omega.shape, np.float32), np.zeros((rank, rank))
     for r in summed.collect():
         block = np.frombuffer(r["data"], np.float32).reshape(-1, rank)
@@ -178,14 +250,16 @@ def latent(passages: DataFrame, idf: np.ndarray, rank: int = 64, over: int = 8,
     The first direction, which all passages share, is left out; the others are divided by their singular values.
     """
     q = np.random.default_rng(seed).standard_normal((1 << BITS, rank + over), np.float32)
-    for _ in range(power + 1):
+    q /= np.linalg.norm(q, axis=0)
+    for _ in range(power):
         back, _ = _apply(passages, idf, q)
         q = np.linalg.qr(back)[0]
-    _, gram = _apply(passages, idf, q)
+    # Nystroem: back is A^T A q and gram q^T A^T A q, so the last pass serves for the subspace and for its directions
+    back, gram = _apply(passages, idf, q)
     values, turn = np.linalg.eigh(gram)
-    order = np.argsort(-values)[: rank + 1]
-    sigma = np.sqrt(np.maximum(values[order], 1e-9))
-    got = (q @ turn[:, order]) / np.maximum(sigma, sigma[0] * 1e-4)
+    known = values > max(values[-1], 1e-30) * 1e-6
+    left, sigma, _ = np.linalg.svd((back @ turn[:, known]) / np.sqrt(values[known]), full_matrices=False)
+    got = left[:, : rank + 1] / np.maximum(sigma[: rank + 1], max(sigma[0], 1e-12) * 1e-4)
     return got[:, 1:] if got.shape[1] > 1 else got
 
 
@@ -218,12 +292,8 @@ def _items(rows: list, embed: np.ndarray) -> tuple[list[Item], np.ndarray, np.nd
 def _embed(h: np.ndarray, first: np.ndarray, end: np.ndarray, embed: np.ndarray) -> np.ndarray:
     """Unit latent vectors of the windows of texts with words first[i] to end[i], from sums over blocks of STRIDE words."""
     n = end - first
-    blocks = -(-n // STRIDE)
+    ids, blocks = _blocks(_ids(h[first[0] : end[-1]] if len(n) else h), first, end, len(embed))
     base = np.cumsum(blocks) - blocks
-    ids = np.full(int(blocks.sum()) * STRIDE, len(embed), np.int64)
-    own = np.repeat(np.arange(len(n)), n)
-    ids[base[own] * STRIDE + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)] = _ids(h[first[0] : end[-1]] if len(n) else h)
-    ids = ids.reshape(-1, STRIDE)
     table = np.concatenate([embed, np.zeros_like(embed[:1])])
     out = np.zeros((len(_windows(first, end)[0]), embed.shape[1]), np.float32)
     at = 0
@@ -368,12 +438,13 @@ def search(index: Index, texts: list[str | None]) -> list[tuple[int, int, float,
     return got
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, lcs: float = 0.7, answer: float = 0.5, rank: int = 128, fit_docs: int = 3000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, lcs: float = 0.7, answer: float = 0.5, rank: int = 128, fit_docs: int | None = None) -> DataFrame:
     """Rows (doc_id, item_id, cosine, lcs, answer) for every document of docs(doc_id, text) that holds an item of
     benchmark(item_id, text), exactly or paraphrased.
 
-    Word counts are over all documents. The latent space is fitted on the passages of about `fit_docs` documents
-    (at most twice that), drawn by a hash of the id, with all benchmark passages; then every passage of every
+    Word counts are over all documents, and the latent space is fitted on the passages of all of them and of the
+    benchmark; a number of `fit_docs` asks for a fit on about so many documents (at most twice that), drawn by a hash
+    of the id, which shapes the returned cosines, not which places are found. Then every passage of every
     document is compared with every item window, and candidates of at least `cosine` are judged by the longest common
     subsequence of words (share of the item at least `lcs`, within a span a quarter longer than the item) and by the
     share of the answer's words in it. Whatever their cosine, so are all places with a rare word of an item and enough
@@ -391,8 +462,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, lcs
     if not n or not n_items:
         return spark.createDataFrame([], schema)
     idf = np.log((1 + n) / (1 + df)) + 1
-    drawn = docs.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, fit_docs / n)) + 1)).limit(2 * fit_docs)
-    fit = cut(drawn.select(F.col("text").alias("t")).unionByName(bench.select(F.col("text").alias("t"))).where("t is not null").repartition(8))
+    texts, asked = docs.select(F.col("text").alias("t")), bench.select(F.col("text").alias("t"))
+    if fit_docs is None:
+        # a partition's sums are as large as the word vectors, so partitions are read together
+        fit = texts.unionByName(asked).coalesce(2 * spark.sparkContext.defaultParallelism)
+    else:
+        drawn = docs.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, fit_docs / n)) + 1)).limit(2 * fit_docs)
+        fit = cut(drawn.select(F.col("text").alias("t")).unionByName(asked).where("t is not null").repartition(8))
     embed = (latent(fit, idf, rank) * idf[:, None]).astype(np.float32)
     give_back()
     found = None
