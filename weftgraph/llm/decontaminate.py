@@ -26,9 +26,9 @@ LEAST = 5
 #: Letters of scripts without spaces, each a word, and marks that part words.
 LETTERS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17d3\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 MARKS = re.compile("[\u17d4-\u17da\u3000-\u3004\u3008-\u3020\u3030\u303d\u30fb\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
-#: Blocks in which partial products are added up, and sums of partitions that are added first.
+#: Blocks in which partial products are added up, and how many partitions' sums are added first.
 SPLIT = 128
-SUMS = 32
+SUMS = 8
 #: Items whose vectors are in memory at once; more items take more passes.
 BLOCK = 2_000
 
@@ -230,7 +230,7 @@ def _apply(passages: DataFrame, idf: np.ndarray, omega: np.ndarray) -> tuple[np.
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "data": [total.astype(np.float32).tobytes()]})
 
     # sums meet block by block on the executors, some partitions' first; the driver gets each block once
-    summed = passages.select("t").mapInArrow(part, "block int, data binary").withColumn("some", F.pmod(F.spark_partition_id(), F.lit(SUMS)))
+    summed = passages.select("t").mapInArrow(part, "block int, data binary").withColumn("some", F.floor(F.spark_partition_id() / SUMS))
     summed = summed.groupBy("block", "some").applyInPandas(add, "block int, data binary").groupBy("block").applyInPandas(add, "block int, data binary")
     back, gram = np.zeros(omega.shape, np.float32), np.zeros((rank, rank))
     for r in summed.collect():
