@@ -55,3 +55,20 @@ def test_stage_drops_near_copies_like_a_brute_force(spark):
     twice = spark.createDataFrame([(3, "al be ga de ep ze"), (5, "al be ga de ep ze"), (5, "on tw th fo fi si")], "doc_id long, text string")
     assert sorted((x.doc_id, x.text[:2]) for x in nearcopies.representatives(twice).collect()) == [(3, "al"), (5, "on")]
     assert nearcopies.representatives(twice.limit(0)).count() == 0
+
+
+def test_simhash_brings_candidates(spark, monkeypatch):
+    """Pairs that no band brings together are compared if their fingerprints link, and only linked if similar."""
+    from weftgraph.llm import nearcopies
+
+    seen = []
+    links = nearcopies.links
+    monkeypatch.setattr(nearcopies, "links", lambda prints: seen.append(prints.count()) or links(prints))
+    words = [f"w{k}" for k in range(400)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:-1])), (3, "another text of some six words")], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in nearcopies.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
+    assert len(seen) == 1 and 2 <= seen[0] <= 3
+    monkeypatch.setattr(nearcopies, "bands", lambda own: own[:0].view("int64"))
+    sets = {k: nearcopies.shingles(x) for k, x in ((1, " ".join(words)), (2, " ".join(words[:-1])), (3, " ".join(words[::-1])))}
+    assert nearcopies.linked(sets, 0.8) == {1: 1, 2: 2, 3: 3}
+    assert nearcopies.linked(sets, 0.8, {1: [7], 2: [7], 3: [7]}) == {1: 1, 2: 1, 3: 3}

@@ -1,6 +1,6 @@
-"""Near copies by exact Jaccard similarity of word shingles; MinHash bands only bring candidates together.
+"""Near copies by exact Jaccard similarity of word shingles; SimHash and MinHash bands only bring candidates together.
 
-SimHash can't do this job: texts of similarity 0.8 to 1 differ in 5 to 7 of 64 bits at the median, and covering masks
+SimHash fingerprints link at up to 2 bits, as in simhash. They can't do this job alone: texts of similarity 0.8 to 1 differ in 5 to 7 of 64 bits at the median, and covering masks
 for that radius would be 127 tables, for the 10 bits that 0.8 leads to 2,047.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from . import textnum
 from .common import components, cut, with_columns
-from .simhash import _LOWER
+from .simhash import _LOWER, fingerprints, links
 
 #: A pair of similarity s shares a band with probability 1 - (1 - s^ROWS)^BANDS: 0.9995 at 0.8.
 BANDS, ROWS = 25, 6
@@ -66,12 +66,12 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return both >= least * (len(a) + len(b) - both)
 
 
-def linked(sets: dict[int, np.ndarray], least: float) -> dict[int, int]:
-    """Of each node the least node of its component, where nodes that share a band and are similar link.
+def linked(sets: dict[int, np.ndarray], least: float, more: dict[int, list[int]] | None = None) -> dict[int, int]:
+    """Of each node the least node of its component, where nodes that share a band, or a key in `more`, and are similar link.
 
     A node that has been reached leaves its bands, so near copies of one text cost a comparison each.
     """
-    keys = {n: bands(s).tolist() for n, s in sets.items()}
+    keys = {n: list({*bands(s).tolist(), *(more or {}).get(n, [])}) for n, s in sets.items()}
     at: dict[int, set[int]] = {}
     for n, ks in keys.items():
         for k in ks:
@@ -100,7 +100,8 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, words: int = 5) -> Data
     (the component's least node) and component_id.
 
     Texts whose sets of shingles have a Jaccard similarity of at least `least` link, and component_id is the smallest
-    doc_id reachable. Equal sets meet as one node. Nodes that share a band form groups, which may be too large; inside
+    doc_id reachable. Equal sets meet as one node. Nodes that share a band, or whose SimHash fingerprints over the same
+    shingles are linked by chains of steps of up to 2 bits, form groups, which may be too large; inside
     each, whole texts are compared, so a link is never a guess, and one worker holds a group's shingles. Null, empty
     and blank texts are one node; a null doc_id takes the component's smallest known id.
     """
@@ -110,21 +111,26 @@ def near_duplicates(docs: DataFrame, least: float = 0.8, words: int = 5) -> Data
         return [pa.array([digest(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
 
     fields = [T.StructField("node", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
-    marked = cut(with_columns(docs.select("doc_id", "text", F.xxhash64("text").alias("same")), "text", fields, made).drop("text"))
+    marked = with_columns(docs.select("doc_id", "text", F.xxhash64("text").alias("same")), "text", fields, made)
+    marked = cut(fingerprints(marked, words=words).drop("text"))
     nodes = marked.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.coalesce(F.min_by("same", "doc_id"), F.min("same")).alias("same"))
-    keyed = marked.select("node", F.explode("bands").alias("key")).distinct()
+    prints = cut(marked.select("node", "fp").distinct())
+    near = cut(components(links(prints.select("fp").distinct()))).select(F.col("node").alias("fp"), "component")
+    alike = prints.join(near, "fp", "left").select("node", F.xxhash64(F.lit("simhash"), F.coalesce("component", "fp")).alias("key")).distinct()
+    keyed = marked.select("node", F.explode("bands").alias("key")).unionByName(alike).distinct()
     shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key", "lo")
     rough = cut(components(keyed.join(shared, "key").select(F.col("node").alias("u"), F.col("lo").alias("v")).distinct()))
-    wanted = nodes.join(rough, "node").select("node", F.col("first_id").alias("_weft_id"), F.col("same").alias("_weft_same"), "component")
+    wanted = nodes.join(rough, "node").join(alike.groupBy("node").agg(F.collect_set("key").alias("alike")), "node")
+    wanted = wanted.select("node", F.col("first_id").alias("_weft_id"), F.col("same").alias("_weft_same"), "component", "alike")
     texts = docs.select("doc_id", "text")
-    texts = texts.join(wanted, texts.doc_id.eqNullSafe(wanted._weft_id) & (F.xxhash64("text") == wanted._weft_same)).select("component", "node", "text")
+    texts = texts.join(wanted, texts.doc_id.eqNullSafe(wanted._weft_id) & (F.xxhash64("text") == wanted._weft_same)).select("component", "node", "text", "alike")
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         sets = {}
         for n, t in zip(pdf["node"], pdf["text"], strict=True):
             if n not in sets:
                 sets[n] = shingles(t, words)
-        root = linked(sets, least)
+        root = linked(sets, least, {n: list(k) for n, k in zip(pdf["node"], pdf["alike"], strict=True)})
         return pd.DataFrame({"node": list(root), "root": list(root.values())})
 
     found = texts.groupBy("component").applyInPandas(compare, "node long, root long")
