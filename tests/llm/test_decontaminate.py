@@ -213,3 +213,56 @@ def test_one_word_items(spark):
     docs = spark.createDataFrame([(1, "Yes!"), (2, "yes it is"), (3, None), (4, "no")], "doc_id long, text string")
     bench = spark.createDataFrame([(7, "yes"), (8, "?!"), (9, None)], "item_id long, text string")
     assert [(x.doc_id, x.item_id) for x in dc.contaminated(docs, bench).collect()] == [(1, 7)]
+
+
+def test_documents_are_cut_into_words_once_for_counts_and_fit(spark, monkeypatch):
+    """The fit's passes read stored words, those of all whole texts, and no text again."""
+    fitted = []
+    monkeypatch.setattr(dc, "latent", lambda passages, idf, rank: fitted.append((passages.columns, passages.inputFiles(), [r.ids for r in passages.collect()])) or np.ones((1 << dc.BITS, 2), np.float32))
+    texts = [None, "", "Zwei zwei drei", "\u4e00\u4e8c\u3002\u4e09 a\u2013b", "w " * 90_000, *(f"x{k % 7} y{k}" for k in range(1500))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert dc.contaminated(docs, spark.createDataFrame([(1, "one item of five words")], "item_id long, text string")).count() == 0
+    [(columns, files, got)] = fitted
+    assert columns == ["ids"] and files
+    want = [dc._ids(dc._words([t or ""])[0]).astype("<u2") for t in [*texts, "one item of five words"]]
+    assert sorted(map(bytes, got)) == sorted(x.tobytes() for x in want)
+    df, n = dc.document_frequencies(dc.tokens(docs.withColumnRenamed("text", "t")))
+    assert n == len(texts)
+    assert (df == sum(np.bincount(np.unique(x), minlength=1 << dc.BITS) for x in want[:-1])).all()
+
+
+def test_products_of_frequent_and_rare_words_and_all_lengths():
+    r = np.random.default_rng(2)
+    lengths = np.array([0, 1, 15, 16, 17, 31, 32, 33, 48, 300, 0, 2500])
+    ends = np.cumsum(lengths)
+    ids = np.minimum(r.geometric(0.004, ends[-1]), 4000)
+    ids[::3] = 7
+    idf = np.append(r.random(1 << dc.BITS) + 1, 0.0)
+    omega = r.standard_normal((1 << dc.BITS, 5)).astype(np.float32)
+    table = np.concatenate([omega * idf[:-1, None].astype(np.float32), np.zeros((1, 5), np.float32)])
+    back, gram = np.zeros(omega.shape, np.float32), np.zeros((5, 5))
+    dc._products(ids, ends - lengths, ends, idf, table, back, gram)
+    start, end, _ = dc._windows(ends - lengths, ends)
+    a = np.array([np.bincount(ids[x:y], minlength=1 << dc.BITS) * idf[:-1] for x, y in zip(start, end, strict=True)])
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    y = a @ omega
+    assert np.allclose(gram, y.T @ y, rtol=1e-3, atol=1e-3) and np.allclose(back * idf[:-1, None], a.T @ y, atol=1e-3)
+
+
+def test_no_match_is_left_for_its_words():
+    r = random.Random(8)
+    words = [f"w{k}" for k in range(14)]
+    mark = np.zeros(1 << dc.BITS, bool)
+    met = 0
+    for _ in range(400):
+        n = r.choice([1, 2, 3, 5, 6, 9, 12])
+        own = r.choices(words, k=n)
+        items, _, _ = dc._items([{"item_id": 1, "text": " ".join(own)}], np.zeros((1 << dc.BITS, 2), np.float32))
+        index = dc.Index(np.zeros((1 << dc.BITS, 2), np.float32), np.zeros((1, 2), np.float32), np.zeros(1, int), items, 0.5, 0.7, 0.5, np.zeros(1 << dc.BITS))
+        text = r.choices(words, k=r.choice([0, 8, 20])) + [w for w in own if r.random() < 0.8]
+        h = textnum.words([" ".join(text or own)])[0]
+        found = dc._judge(index, items[0], h.tolist(), 0, len(h), len(h) == 1)[0] >= 0.7
+        met += found
+        covered = dc._covered(index, 0, dc._ids(h), mark)
+        assert not mark.any() and (covered or not found)
+    assert met > 20

@@ -26,9 +26,13 @@ LEAST = 5
 #: Letters of scripts without spaces, each a word, and marks that part words.
 LETTERS = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17d3\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 MARKS = re.compile("[\u17d4-\u17da\u3000-\u3004\u3008-\u3020\u3030\u303d\u30fb\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
+EITHER = re.compile(f"[{LETTERS.pattern[1:-1]}{MARKS.pattern[1:-1]}]")
 #: Blocks in which partial products are added up, and how many partitions' sums are added first.
 SPLIT = 128
 SUMS = 8
+#: Words whose passages are multiplied at once, and rows of them that stay in a core's cache.
+TOGETHER = 80_000
+ROWS = 256
 #: Items whose vectors are in memory at once; more items take more passes.
 BLOCK = 2_000
 
@@ -57,7 +61,7 @@ class Index:
     df: np.ndarray
 
     def __post_init__(self):
-        """member: which hashed words an item has; shared: least words that a window has to share with it.
+        """member: which hashed words an item has; hashed: those of an item, in order; shared: least words that a window has to share with it.
 
         need: words that a match has at least; keys, listed: an item's rarest words, one more than a match may miss,
         sorted, and the item of each; keyed: which hashed words a key has. Every match has a key.
@@ -65,6 +69,7 @@ class Index:
         self.member = np.zeros((len(self.items), 1 << BITS), bool)
         for k, it in enumerate(self.items):
             self.member[k, _ids(it.words)] = True
+        self.hashed = [_ids(it.words) for it in self.items]
         sizes = np.array([len(it.words) for it in self.items], int)
         self.shared = np.floor(0.7 * self.lcs * np.minimum(sizes, WINDOW - STRIDE // 2)).astype(int)
         self.need = np.where(sizes < LEAST, sizes, np.ceil(self.lcs * sizes - 1e-9).astype(int))
@@ -84,26 +89,38 @@ def _ids(hashes: np.ndarray) -> np.ndarray:
 
 def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """textnum.words of the texts, where letters of scripts without spaces are words each."""
-    return textnum.words([t if t.isascii() else LETTERS.sub(r" \g<0> ", MARKS.sub(" ", t)) for t in texts])
+    return textnum.words([t if t.isascii() or not EITHER.search(t) else LETTERS.sub(r" \g<0> ", MARKS.sub(" ", t)) for t in texts])
 
 
-def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
-    """In how many documents each hashed word stands, over all whole texts, and the number of documents."""
+def tokens(texts: DataFrame) -> DataFrame:
+    """Rows with the hashed words of each of texts(t) as ids, 16 bits each, in order; none for a null or empty text.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Besides, without ids, for each partition in how many of its texts (n) a hashed word (w) stands; w of -1 counts all.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(1 << BITS, np.int64), 0
         for batch in slices(batches, 512):
-            for part in textnum.chunks(batch.column(0).to_pylist(), 1 << 20):
+            for part in textnum.chunks(batch.column(0).to_pylist(), 1 << 18):
                 h, a, b = _words(part)
-                own = np.repeat(np.arange(len(part)), b - a)
-                seen = np.unique((own << BITS) | _ids(h))
-                df += np.bincount(seen & ((1 << BITS) - 1), minlength=1 << BITS)
+                ids = _ids(h)
+                seen = (np.repeat(np.arange(len(part)), b - a) << BITS | ids).astype(np.uint32)
+                seen.sort()
+                df += np.bincount(seen[np.flatnonzero(np.diff(seen, prepend=~seen[:1]))] & ((1 << BITS) - 1), minlength=1 << BITS)
                 n += len(part)
+                ends = pa.py_buffer((2 * np.append(a, b[-1])).astype(np.int32))
+                column = pa.Array.from_buffers(pa.binary(), len(part), [None, ends, pa.py_buffer(ids.astype("<u2"))])
+                yield pa.RecordBatch.from_arrays([column, *[pa.nulls(len(part), pa.int64())] * 2], names=["ids", "w", "n"])
         hit = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(hit, -1)), pa.array(np.append(df[hit], n))], names=["w", "n"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(hit) + 1, pa.binary()), pa.array(np.append(hit, -1)), pa.array(np.append(df[hit], n))], names=["ids", "w", "n"])
+
+    return texts.select("t").mapInArrow(read, "ids binary, w long, n long")
+
 
+def document_frequencies(read: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many texts each hashed word stands, and the number of texts, from tokens()."""
     df, n = np.zeros(1 << BITS), 0
-    for w, k in docs.select(F.col(text).alias("t")).mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n")).collect():
+    for w, k in read.where("w is not null").groupBy("w").agg(F.sum("n")).collect():
         if w < 0:
             n = int(k)
         else:
@@ -111,6 +128,18 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
     return df, n
 
 
+def _read(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Hashed words of some texts of a column of ids, and each one's first word and the word after its last."""
+    column = column.cast(pa.binary())
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 2
+    ids = np.frombuffer(column.buffers()[2] or b"", "<u2")
+    k = 0
+    while k < len(column):
+        m = max(k + 1, int(np.searchsorted(ends, ends[k] + TOGETHER, "right")) - 1)
+        yield ids[ends[k] : ends[m]], ends[k:m] - ends[k], ends[k + 1 : m + 1] - ends[k]
+        k = m
+
+
 def _windows(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the word windows of texts with words first[i] to end[i], and each window's text."""
     n = end - first
@@ -145,6 +174,18 @@ def _blocks(ids: np.ndarray, first: np.ndarray, end: np.ndarray, pad: int) -> tu
     return out.reshape(-1, STRIDE), blocks
 
 
+def _sums(table: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Sums of the rows of table that each row of words names."""
+    total = np.empty((len(words), table.shape[1]), table.dtype)
+    some = np.empty((ROWS, table.shape[1]), table.dtype)
+    columns = np.ascontiguousarray(words.T)
+    for k in range(0, len(words), ROWS):  # a few rows at a time: sums stay in the cache
+        sums = np.take(table, columns[0, k : k + ROWS], axis=0, out=total[k : k + ROWS], mode="clip")
+        for column in columns[1:]:
+            sums += np.take(table, column[k : k + ROWS], axis=0, out=some[: len(sums)], mode="clip")
+    return total
+
+
 def _norms(words: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Lengths of the TF-IDF vectors of passages, rows of words; idf is 0 for what fills them up."""
     words = np.sort(words.astype(np.int32), axis=1)
@@ -155,16 +196,15 @@ def _norms(words: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return np.sqrt(np.bincount(at // words.shape[1], val * val, minlength=len(words)))
 
 
-def _products(texts: list[str], idf: np.ndarray, table: np.ndarray, back: np.ndarray, gram: np.ndarray) -> None:
-    """Adds to back, still without its factor idf, and gram what the texts' passages give.
+def _products(ids: np.ndarray, a: np.ndarray, b: np.ndarray, idf: np.ndarray, table: np.ndarray, back: np.ndarray, gram: np.ndarray) -> None:
+    """Adds to back, still without its factor idf, and gram what the passages of texts with hashed words a[i] to b[i] give.
 
     idf and table, omega's rows times idf, have a last row of zeros.
     A passage is two blocks of STRIDE words, so sums over blocks serve two passages each, in both directions.
     """
-    h, a, b = _words(texts)
-    if not len(h):
+    if not len(ids):
         return
-    words, blocks = _blocks(_ids(h), a, b, len(back))
+    words, blocks = _blocks(ids, a, b, len(back))
     per = np.where(blocks > 0, np.maximum(1, blocks - 1), 0)
     base = np.cumsum(blocks) - blocks
     own = np.repeat(np.arange(len(per)), per)
@@ -173,9 +213,7 @@ def _products(texts: list[str], idf: np.ndarray, table: np.ndarray, back: np.nda
     second = np.full((len(block), STRIDE), len(back), np.int64)
     second[more] = words[block[more] + 1]
     norm = _norms(np.concatenate([words[block], second], axis=1), idf)[:, None].astype(np.float32)
-    total = table[words[:, 0]]
-    for j in range(1, STRIDE):
-        total += table[words[:, j]]
+    total = _sums(table, words)
     y = total[block]
     y[more] += total[block[more] + 1]
     y /= norm
@@ -185,26 +223,27 @@ def _products(texts: list[str], idf: np.ndarray, table: np.ndarray, back: np.nda
     total[block] = y
     total[block[more] + 1] += y[more]
     flat = words.ravel()
-    order = np.argsort(flat.astype(np.uint16), kind="stable")  # a radix sort; what fills up comes last
-    order = order[: np.searchsorted(flat[order], len(back))]
-    first = np.flatnonzero(np.diff(flat[order], prepend=-1))
-    times = np.diff(first, append=len(order))
-    block = order // STRIDE
-    got = total[block[first]]
-    for k in range(1, STRIDE):
-        at = np.flatnonzero((times > k) & (times <= STRIDE))
-        got[at] += total[block[first[at] + k]]
-    often = np.flatnonzero(times > STRIDE)
-    if len(often):  # of frequent words, how often they stand in each block
-        which = np.repeat(np.arange(len(often)), times[often])
-        place = np.arange(len(which)) - np.repeat(np.cumsum(times[often]) - times[often], times[often]) + first[often][which]
-        n = np.bincount(which * len(total) + block[place], minlength=len(often) * len(total))
-        got[often] = n.reshape(len(often), -1).astype(np.float32) @ total
-    back[flat[order][first]] += got
+    place = np.argsort(flat.astype(np.uint16), kind="stable") // STRIDE  # a radix sort; what fills up comes last
+    times = np.bincount(flat, minlength=len(back) + 1)[:-1]
+    first = np.cumsum(times) - times
+    some = np.empty((ROWS, table.shape[1]), np.float32)
+    order = np.argsort(-times, kind="stable")[: np.count_nonzero(times)]
+    often = int(np.count_nonzero(times > 4 * STRIDE))
+    for w in order[:often].tolist():
+        back[w] += total[place[first[w] : first[w] + times[w]]].sum(0)
+    for k in range(often, len(order), ROWS):  # words that stand there about as often
+        w = order[k : k + ROWS]
+        sums = total[place[first[w]]]
+        for j, m in enumerate(np.searchsorted(-times[w], -np.arange(1, times[w[0]])).tolist(), 1):
+            sums[:m] += np.take(total, place[first[w[:m]] + j], axis=0, out=some[:m], mode="clip")
+        back[w] += sums
 
 
 def _apply(passages: DataFrame, idf: np.ndarray, omega: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A^T (A omega) and (A omega)^T (A omega) of the passages' matrix A, summed over partitions."""
+    """A^T (A omega) and (A omega)^T (A omega) of the matrix A of the passages of texts(t), or tokens' rows of them, summed over partitions."""
+    if "ids" not in passages.columns:
+        passages = tokens(passages)
+    passages = passages.where("ids is not null").select("ids")
     shared = passages.sparkSession.sparkContext.broadcast((idf, omega.astype(np.float32)))
     rank = omega.shape[1]
 
@@ -214,10 +253,10 @@ def _apply(passages: DataFrame, idf: np.ndarray, omega: np.ndarray) -> tuple[np.
         table = np.concatenate([om * idf[:-1, None].astype(np.float32), np.zeros((1, rank), np.float32)])
         back, gram = np.zeros(om.shape, np.float32), np.zeros((rank, rank))
         seen = False
-        for batch in slices(batches):
+        for batch in slices(batches, 4096):
             seen = seen or bool(batch.num_rows)
-            for texts in textnum.chunks(batch.column(0).to_pylist(), 1 << 17):
-                _products(texts, idf, table, back, gram)
+            for ids, a, b in _read(batch.column(0)):
+                _products(ids, a, b, idf, table, back, gram)
         if seen:
             back *= idf[:-1, None].astype(np.float32)
             blocks = [gram.astype(np.float32), *np.split(back, SPLIT)]
@@ -230,7 +269,7 @@ def _apply(passages: DataFrame, idf: np.ndarray, omega: np.ndarray) -> tuple[np.
         return pd.DataFrame({"block": pdf["block"].iloc[:1], "data": [total.astype(np.float32).tobytes()]})
 
     # sums meet block by block on the executors, some partitions' first; the driver gets each block once
-    summed = passages.select("t").mapInArrow(part, "block int, data binary").withColumn("some", F.floor(F.spark_partition_id() / SUMS))
+    summed = passages.mapInArrow(part, "block int, data binary").withColumn("some", F.floor(F.spark_partition_id() / SUMS))
     summed = summed.groupBy("block", "some").applyInPandas(add, "block int, data binary").groupBy("block").applyInPandas(add, "block int, data binary")
     back, gram = np.zeros(omega.shape, np.float32), np.zeros((rank, rank))
     for r in summed.collect():
@@ -297,11 +336,9 @@ def _embed(h: np.ndarray, first: np.ndarray, end: np.ndarray, embed: np.ndarray)
     table = np.concatenate([embed, np.zeros_like(embed[:1])])
     out = np.zeros((len(_windows(first, end)[0]), embed.shape[1]), np.float32)
     at = 0
-    for k in range(0, len(n), 64):  # a few texts at a time: sums stay in the cache
+    for k in range(0, len(n), 64):  # a few texts at a time
         lo, hi = int(base[k]), int(base[k + 63] + blocks[k + 63]) if k + 63 < len(n) else len(ids)
-        total = table[ids[lo:hi, 0]]
-        for j in range(1, STRIDE):
-            total += table[ids[lo:hi, j]]
+        total = _sums(table, ids[lo:hi])
         per = np.where(blocks[k : k + 64] > 0, np.maximum(1, blocks[k : k + 64] - 1), 0)
         text = np.repeat(np.arange(len(per)), per)
         block = base[k : k + 64][text] - lo + np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
@@ -371,6 +408,14 @@ def _overlapping(index: Index, h: np.ndarray, ids: np.ndarray, first: np.ndarray
     return got
 
 
+def _covered(index: Index, k: int, ids: np.ndarray, mark: np.ndarray) -> bool:
+    """Whether as many places of item k as a match has hold a hashed word of ids; mark is all False, before and after."""
+    mark[ids] = True
+    places = np.count_nonzero(mark[index.hashed[k]])
+    mark[ids] = False
+    return places >= index.need[k]
+
+
 def _judge(index: Index, item: Item, h: list[int], lo: int, hi: int, alone: bool = False) -> tuple[float, float]:
     """Best share of the item's words, and of its answer's, in order within a span little longer than the item."""
     n = len(item.words)
@@ -412,24 +457,27 @@ def search(index: Index, texts: list[str | None]) -> list[tuple[int, int, float,
         vectors = _embed(h, a, b, index.embed)
         ids = _ids(h)
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
-        listed: list[int] | None = None
+        mark = np.zeros(1 << BITS, bool)
         for k in range(0, len(start), 4096):
             near = vectors[k : k + 4096] @ index.queries.T
             for w, q in zip(*_plausible(index, near, ids, start[k : k + 4096], end[k : k + 4096]), strict=True):
-                listed = listed if listed is not None else h.tolist()
                 key = (int(own[k + w]), int(index.owner[q]))
                 if best.get(key, (0, 0, 0))[:2] == (1.0, 1.0):
                     continue
                 at, n = int(start[k + w]), len(index.items[key[1]].words)
-                lcs, ans = _judge(index, index.items[key[1]], listed, max(int(a[key[0]]), at - n), min(int(b[key[0]]), at + WINDOW + n))
+                lo, hi = max(int(a[key[0]]), at - n), min(int(b[key[0]]), at + WINDOW + n)
+                if not _covered(index, key[1], ids[lo:hi], mark):
+                    continue
+                lcs, ans = _judge(index, index.items[key[1]], h[lo:hi].tolist(), 0, hi - lo)
                 if lcs >= index.lcs and ans >= index.answer:
                     c = float(near[w, q])
                     best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (lcs, ans, c), key=lambda x: (x[0], x[1]))
         for d, i, lo, hi in _overlapping(index, h, ids, a, b):
             if best.get((d, i), (0, 0, 0))[:2] == (1.0, 1.0):
                 continue
-            listed = listed if listed is not None else h.tolist()
-            lcs, ans = _judge(index, index.items[i], listed, lo, hi, bool(b[d] - a[d] == 1))
+            if not _covered(index, i, ids[lo:hi], mark):
+                continue
+            lcs, ans = _judge(index, index.items[i], h[lo:hi].tolist(), 0, hi - lo, bool(b[d] - a[d] == 1))
             if lcs >= index.lcs and ans >= index.answer:
                 near = vectors[np.flatnonzero((own == d) & (start < hi) & (end > lo))] @ index.queries[index.owner == i].T
                 best[d, i] = max(best.get((d, i), (0.0, 0.0, 0.0)), (lcs, ans, float(near.max())), key=lambda x: (x[0], x[1]))
@@ -458,14 +506,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.5, lcs
     docs = docs.select("doc_id", "text")
     bench = benchmark.select("item_id", "text")
     n_items = bench.count()
-    df, n = document_frequencies(docs)
-    if not n or not n_items:
+    if not n_items:
+        return spark.createDataFrame([], schema)
+    # the words are written once, for their counts and for both passes of the fit
+    read = cut(tokens(docs.select(F.col("text").alias("t"))))
+    df, n = document_frequencies(read)
+    if not n:
         return spark.createDataFrame([], schema)
     idf = np.log((1 + n) / (1 + df)) + 1
-    texts, asked = docs.select(F.col("text").alias("t")), bench.select(F.col("text").alias("t"))
+    asked = bench.select(F.col("text").alias("t"))
     if fit_docs is None:
         # a partition's sums are as large as the word vectors, so partitions are read together
-        fit = texts.unionByName(asked).coalesce(2 * spark.sparkContext.defaultParallelism)
+        fit = read.unionByName(tokens(asked)).where("ids is not null").select("ids").coalesce(2 * spark.sparkContext.defaultParallelism)
     else:
         drawn = docs.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, fit_docs / n)) + 1)).limit(2 * fit_docs)
         fit = cut(drawn.select(F.col("text").alias("t")).unionByName(asked).where("t is not null").repartition(8))
