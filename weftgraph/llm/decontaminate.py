@@ -230,7 +230,8 @@ def _products(ids: np.ndarray, a: np.ndarray, b: np.ndarray, idf: np.ndarray, ta
     order = np.argsort(-times, kind="stable")[: np.count_nonzero(times)]
     often = int(np.count_nonzero(times > 4 * STRIDE))
     for w in order[:often].tolist():
-        back[w] += total[place[first[w] : first[w] + times[w]]].sum(0)
+        at = place[first[w] : first[w] + times[w]]
+        back[w] += total[at].sum(0) if 4 * len(at) < len(total) else np.bincount(at, minlength=len(total)).astype(np.float32) @ total
     for k in range(often, len(order), ROWS):  # words that stand there about as often
         w = order[k : k + ROWS]
         sums = total[place[first[w]]]
