@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,9 +53,28 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
+    trim(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trim(spark: SparkSession) -> bool:
+    """Return memory that the driver's JVM has freed to the system, and whether it could.
+
+    Its compiler and hundreds of threads free memory outside the heap that malloc keeps otherwise. The command is
+    HotSpot's System.trim_native_heap on Linux; another JVM goes on as it is.
+    """
+    jvm = spark._jvm
+    try:
+        # by way of the interface, as the server's own class isn't exported
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        given = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except (Py4JError, StopIteration):
+        return False
+    return True
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges(u, v): rows (node, component), component the least node reachable.
 
